@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: set[str] = set()
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -27,6 +30,23 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
     )
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for each context: operators that run Python there need it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="rivaq-code-"), "rivaq.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(at, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a new temporary folder where that is unset (local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
