@@ -25,7 +25,7 @@ Q = [f"q{c}" for c in range(M)]
 #: Prior counts: of a class, of the right opinion, of each wrong one.
 PRIOR_CLASS, PRIOR_RIGHT, PRIOR_WRONG = 2.0, 4.0, 1.0
 #: Rounds before and after looking for copies; how far above chance and how sure agreement must be to be copying.
-ROUNDS, EXCESS, SURE = (8, 10), 0.5, 4.0
+ROUNDS, EXCESS, SURE = (6, 8), 0.5, 4.0
 #: The pseudo-grader that holds the class shares.
 SHARES = ""
 #: Graders times opinions whose parameters one row may hold (some 130 bytes each); beyond, the same counts come by joins.
@@ -90,8 +90,8 @@ def _first(nested: DataFrame) -> DataFrame:
 
 def _counts_nested(nested: DataFrame, old: DataFrame) -> DataFrame:
     """Expected counts of each code: one pass over the items, the parameters in one small row, no shuffle but that of the counts."""
-    one = old.agg(*[F.array_sort(F.collect_list(F.struct("j", f"w{c}"))).getField(f"w{c}").alias(f"W{c}") for c in range(M)]).withColumn("bir", F.lit(1))
-    x = nested.withColumn("bir", F.lit(1)).join(F.broadcast(one), "bir")
+    one = old.agg(F.array_sort(F.collect_list(F.struct("j", *[f"w{c}" for c in range(M)]))).alias("w")).scalar()
+    x = nested.select("v", one.alias("W")).select("v", *[F.col(f"W.w{c}").alias(f"W{c}") for c in range(M)])
     at = lambda c, e: F.get(f"W{c}", e["j"])
     x = x.select("v", *[f"W{c}" for c in range(M)], *[_summed(c, at).alias(f"s{c}") for c in range(M)])
     x = _posterior(x, ["v", *[f"W{c}" for c in range(M)]]).select(F.explode("v").alias("e"), *Q, *[f"W{c}" for c in range(M)])
@@ -185,9 +185,9 @@ def consensus(corpus: DataFrame, terms: DataFrame, least: int = 1) -> DataFrame:
 def graders(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """alim, n, guvenilirlik (probability of the right opinion over the class shares), alt and ust (its 95 % posterior interval), asil (whom the grader copies, or null), kopya_payi."""
     votes, params, copies = fitted(corpus, terms)
-    share = params.where(F.col("g") == SHARES).select(F.array(*[F.col(f"a{c}") for c in range(M)]).alias("pay")).select(F.transform("pay", lambda x: x / _total("pay")).alias("pay"), F.lit(1).alias("j"))
+    share = params.where(F.col("g") == SHARES).select(F.array(*[F.col(f"a{c}") for c in range(M)]).alias("pay")).select(F.transform("pay", lambda x: x / _total("pay")).alias("pay")).scalar()
     right = [F.max(F.when(F.col("k") == c, F.col(f"a{c}"))) for c in range(M)]
-    rows = params.where(F.col("g") != SHARES).groupBy("g").agg(*[right[c].alias(f"a{c}") for c in range(M)], *[F.first(f"t{c}").alias(f"t{c}") for c in range(M)]).withColumn("j", F.lit(1)).join(F.broadcast(share), "j")
+    rows = params.where(F.col("g") != SHARES).groupBy("g").agg(*[right[c].alias(f"a{c}") for c in range(M)], *[F.first(f"t{c}").alias(f"t{c}") for c in range(M)]).withColumn("pay", share)
     p = [F.col(f"a{c}") / F.col(f"t{c}") for c in range(M)]
     mean = sum((F.get("pay", F.lit(c)) * p[c] for c in range(M)), F.lit(0.0))
     spread = F.sqrt(sum((F.get("pay", F.lit(c)) ** 2 * p[c] * (1 - p[c]) / (F.col(f"t{c}") + 1) for c in range(M)), F.lit(0.0)))

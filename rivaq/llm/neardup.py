@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.llm import normalize as N
-from rivaq.session import saved
+from rivaq.session import saved, shipped
 
 SHARE, SKETCH, FILL, FREQUENT = 0.7, 12, 6, 2e-5
 #: A word seen less often than this is rare in any collection.
@@ -86,6 +86,7 @@ def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
             made = pa.RecordBatch.from_arrays([batch.column("k"), batch.column("alan"), pa.array(h, pa.int64()), pa.array(np.diff(offsets), pa.int32()), pa.array(blobs, pa.binary())], schema=out)
             yield made.filter(pa.array(np.diff(offsets) > 0))
 
+    shipped(df.sparkSession)
     src = df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).where("k IS NOT NULL")
     return src.mapInArrow(run, "k string, alan byte, h long, n int, w binary")
 

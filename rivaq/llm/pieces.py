@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.llm import normalize as N
+from rivaq.session import shipped
 
 LIMIT, OVERLAP = 800, 80
 
@@ -201,6 +202,7 @@ def cut(df: DataFrame, key: str, columns: list[str], limit: int = LIMIT, overlap
                         out.append((k, c, n, a, b, text[a:b], own))
             yield pd.DataFrame(out, columns=["anahtar", "alan", "sira", "bas", "son", "parca", "cumleler"])
 
+    shipped(df.sparkSession)
     out = _values(df, key, columns, limit).mapInPandas(run, "anahtar string, alan string, sira int, bas int, son int, parca string, cumleler array<int>")
     return out.withColumnRenamed("anahtar", key)
 

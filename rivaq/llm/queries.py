@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivaq.llm import consensus, neardup, normalize, pieces, terms
+from rivaq.llm import consensus, langid, mixing, neardup, normalize, packing, pieces, terms
 from rivaq.sources.tables import table
 
 
@@ -60,8 +60,33 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return both.where("degisti").select("id", "alan", "bicim").distinct()
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p6_containers(spark, d), table(spark, d, "containers"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(table(spark, d, "documents"))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence, and the document's."""
+    return langid.assigned(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p2_found, p2_pieces, p3_found, p3_unmatched, p4_found, p5_found, p5_forms)}
+    return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p2_found, p2_pieces, p3_found, p3_unmatched, p4_found, p5_found, p5_forms, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
