@@ -30,6 +30,8 @@ ROUNDS, EXCESS, SURE = (6, 8), 0.5, 4.0
 SHARES = ""
 #: Graders times opinions whose parameters one row may hold (some 130 bytes each); beyond, the same counts come by joins.
 CODES = 100_000
+#: Pairs are taken for copies together if their surplus is at least this share of the largest.
+PLAIN = 0.95
 
 
 def digamma(x: Column) -> Column:
@@ -90,17 +92,16 @@ def _first(nested: DataFrame) -> DataFrame:
 
 def _counts_nested(nested: DataFrame, old: DataFrame) -> DataFrame:
     """Expected counts of each code: one pass over the items, the parameters in one small row, no shuffle but that of the counts."""
-    one = old.agg(F.array_sort(F.collect_list(F.struct("j", *[f"w{c}" for c in range(M)]))).alias("w")).scalar()
-    x = nested.select("v", one.alias("W")).select("v", *[F.col(f"W.w{c}").alias(f"W{c}") for c in range(M)])
-    at = lambda c, e: F.get(f"W{c}", e["j"])
-    x = x.select("v", *[f"W{c}" for c in range(M)], *[_summed(c, at).alias(f"s{c}") for c in range(M)])
-    x = _posterior(x, ["v", *[f"W{c}" for c in range(M)]]).select(F.explode("v").alias("e"), *Q, *[f"W{c}" for c in range(M)])
-    x = x.select("e.j", "e.rho", *Q, *[F.get(f"W{c}", F.col("e.j")).alias(f"w{c}") for c in range(M)])
+    one = old.agg(F.struct(*[F.array_sort(F.collect_list(F.struct("j", f"w{c}"))).getField(f"w{c}").alias(f"w{c}") for c in range(M)]).alias("w")).scalar()
+    x = nested.select("v", one.alias("w"))
+    x = x.select(F.transform("v", lambda e: F.struct(e["j"].alias("j"), e["rho"].alias("rho"), *[F.get(F.col("w").getField(f"w{c}"), e["j"]).alias(f"w{c}") for c in range(M)])).alias("v"))
+    x = x.select("v", *[_summed(c).alias(f"s{c}") for c in range(M)])
+    x = _posterior(x, ["v"]).select(F.explode("v").alias("e"), *Q).select("e.*", *Q)
     return x.groupBy("j").agg(*[F.sum(F.col(Q[c]) * _own(c)).alias(f"n{c}") for c in range(M)])
 
 
-def _summed(c: int, at) -> Column:
-    return F.aggregate("v", F.lit(0.0), lambda s, e: s + _weight(c, at(c, e), e["rho"]))
+def _summed(c: int) -> Column:
+    return F.aggregate("v", F.lit(0.0), lambda s, e: s + _weight(c, e[f"w{c}"], e["rho"]))
 
 
 def _counts(votes: DataFrame, old: DataFrame) -> DataFrame:
@@ -132,21 +133,26 @@ def _fit(votes: DataFrame, rounds: int) -> DataFrame:
 
 
 def _copies(votes: DataFrame, params: DataFrame) -> DataFrame:
-    """kopya, asil, rho: pairs of graders of whom the first copies the second in a share rho of the items both judge."""
-    own = votes.where(F.col("g") != SHARES)
-    sets = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("g", "k"))).alias("v")).where(F.size("v") > 1).join(_items(votes, params), "id")
-    pairs = sets.select(F.posexplode("v").alias("i", "x"), "v", *Q).select("x", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("y"), *Q)
-    both = pairs.groupBy(F.col("x.g").alias("g"), F.col("y.g").alias("h")).agg(F.count("*").alias("n"), F.sum((F.col("x.k") == F.col("y.k")).cast("double")).alias("agree"), *[F.sum(q).alias(q) for q in Q])
-    rows = params.where(F.col("g") != SHARES).groupBy("g").agg(*[F.sort_array(F.collect_list(F.struct("k", (F.col(f"a{c}") / F.col(f"t{c}")).alias("p")))).getField("p").alias(f"p{c}") for c in range(M)])
-    other = rows.select(F.col("g").alias("h"), *[F.col(f"p{c}").alias(f"r{c}") for c in range(M)])
-    dot = lambda c: _total(F.zip_with(f"p{c}", f"r{c}", lambda a, b: a * b))
-    both = both.join(rows, "g").join(other, "h").withColumn("due", sum((F.col(Q[c]) * dot(c) for c in range(M)), F.lit(0.0)))
+    """kopya, asil, rho: pairs of graders of whom the first copies the second in a share rho of the items both judge.
+
+    What the first would say by its own rows, given all other opinions on an item, the second's too, is set against how
+    often both say the same. Only the plainest pairs are taken at once: others may owe their surplus to those.
+    """
+    w = [f"w{c}" for c in range(M)]
+    own = votes.join(params.select("g", "k", *w), ["g", "k"])
+    sets = own.groupBy("id").agg(F.collect_list(F.when(F.col("g") != SHARES, F.struct("g", "k", *[_weight(c).alias(f"w{c}") for c in range(M)]))).alias("v"), *[F.sum(_weight(c)).alias(f"s{c}") for c in range(M)]).where(F.size("v") > 1)
+    x = sets.select(F.explode("v").alias("x"), "v", *[f"s{c}" for c in range(M)])
+    x = x.select(F.col("x.g").alias("g"), F.col("x.k").alias("k"), "v", *[(F.col(f"s{c}") - F.col(f"x.w{c}")).alias(f"s{c}") for c in range(M)])
+    x = _posterior(x, ["g", "k", "v"]).select("g", "k", F.explode("v").alias("y"), *Q).where(F.col("y.g") != F.col("g"))
+    both = x.groupBy("g", F.col("y.g").alias("h"), F.col("y.k").alias("k")).agg(F.count("*").alias("n"), F.sum((F.col("k") == F.col("y.k")).cast("double")).alias("agree"), *[F.sum(q).alias(q) for q in Q])
+    due = sum((F.col(Q[c]) * F.col(f"a{c}") / F.col(f"t{c}") for c in range(M)), F.lit(0.0))
+    both = both.join(params, ["g", "k"]).groupBy("g", "h").agg(F.sum("n").alias("n"), F.sum("agree").alias("agree"), F.sum(due).alias("due"))
     both = both.withColumn("rho", (F.col("agree") - F.col("due")) / (F.col("n") - F.col("due"))).withColumn("z", (F.col("agree") - F.col("due")) / F.sqrt(F.col("due") * (1 - F.col("due") / F.col("n"))))
-    both = both.where((F.col("rho") > EXCESS) & (F.col("z") > SURE))
-    judged = own.groupBy("g").agg(F.count("*").alias("all"))
+    judged = votes.where(F.col("g") != SHARES).groupBy("g").agg(F.count("*").alias("all"))
     both = both.join(judged, "g").join(judged.select(F.col("g").alias("h"), F.col("all").alias("all_h")), "h")
-    less = (F.col("all") < F.col("all_h")) | ((F.col("all") == F.col("all_h")) & (F.col("g") > F.col("h")))
-    return both.select(F.when(less, F.col("g")).otherwise(F.col("h")).alias("kopya"), F.when(less, F.col("h")).otherwise(F.col("g")).alias("asil"), F.least("rho", F.lit(0.98)).alias("rho"))
+    both = both.where((F.col("all") < F.col("all_h")) | ((F.col("all") == F.col("all_h")) & (F.col("g") > F.col("h"))))
+    both = both.where((F.col("rho") > EXCESS) & (F.col("z") > SURE)).select(F.col("g").alias("kopya"), F.col("h").alias("asil"), F.least("rho", F.lit(0.98)).alias("rho"))
+    return both.withColumn("_m", both.agg(F.max("rho")).scalar()).where(F.col("rho") >= PLAIN * F.col("_m")).drop("_m")
 
 
 def _marked(votes: DataFrame, copies: DataFrame) -> DataFrame:
@@ -165,10 +171,16 @@ def _with_shares(votes: DataFrame) -> DataFrame:
 def fitted(corpus: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """votes (id, g, k, rho), params and copies, all written to the shared folder."""
     votes = saved(opinions(corpus, terms).withColumn("rho", F.lit(0.0)), "votes")
-    full = saved(_with_shares(votes).repartition("id"), "votes")
-    copies = saved(_copies(full, _fit(full, ROUNDS[0])), "copies")
-    full = saved(_with_shares(_marked(votes, copies)).repartition("id"), "votes")
-    return full, _fit(full, ROUNDS[1]), copies
+    full, copies = saved(_with_shares(votes).repartition("id"), "votes"), None
+    params = _fit(full, ROUNDS[0])
+    while True:
+        new = _copies(full, params)
+        new = saved(new if copies is None else new.join(copies, ["kopya", "asil"], "left_anti"), "copies")
+        if new.isEmpty():
+            return full, params, copies if copies is not None else new
+        copies = new if copies is None else saved(copies.unionByName(new), "copies")
+        full = saved(_with_shares(_marked(votes, copies)).repartition("id"), "votes")
+        params = _fit(full, ROUNDS[1])
 
 
 def consensus(corpus: DataFrame, terms: DataFrame, least: int = 1) -> DataFrame:
