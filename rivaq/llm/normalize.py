@@ -1,7 +1,7 @@
 """Visually identical text with different characters, brought to one form by DuckDB inside Arrow partitions.
 
 The form: marks composed and in canonical order (NFC), no dot above a letter that has one, plain blanks, nothing
-invisible, letters and digits of ordinary width and shape, Arabic words in the Arabic alphabet, one script per word.
+invisible, letters and digits of ordinary width and shape, Arabic words in the Arabic alphabet, one script per word (an apostrophe is within a word).
 
 Null stays null, the empty text stays empty, texts of any length are taken whole. Vowel signs, brackets, symbols,
 runs of blanks, line breaks and words wholly in another script stay as they are.
@@ -101,10 +101,11 @@ def forms_sql(source: str, keep: str, col: str = "metin") -> str:
     """All columns named in keep, with bicim, the form of col, and karisik: whether a word still mixes scripts."""
     _, _, _, like, latin = maps()
     other = r"[\p{Cyrillic}\p{Greek}]"
-    words = r"regexp_extract_all(b, '[\p{L}\p{M}]+|[^\p{L}\p{M}]+')"
+    words = r"regexp_extract_all(b, '[\p{L}\p{M}''’ʼ]+|[^\p{L}\p{M}''’ʼ]+')"
     mixed = rf"regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '{other}')"
     fixed = f"nfc_normalize(array_to_string(list_transform({words}, lambda w: CASE WHEN {mixed} THEN translate(w, {_quoted(like)}, {_quoted(latin)}) ELSE w END), ''))"
-    pairs = [r"\p{Latin}\p{M}*[\p{Cyrillic}\p{Greek}\p{Arabic}]", r"[\p{Cyrillic}\p{Greek}\p{Arabic}]\p{M}*\p{Latin}", r"\p{Cyrillic}\p{M}*[\p{Greek}\p{Arabic}]", r"[\p{Greek}\p{Arabic}]\p{M}*\p{Cyrillic}", r"\p{Greek}\p{M}*\p{Arabic}", r"\p{Arabic}\p{M}*\p{Greek}"]
+    scripts = [r"\p{Latin}", r"\p{Cyrillic}", r"\p{Greek}", r"\p{Arabic}"]
+    pairs = [rf"{x}[\p{{M}}''’ʼ]*[{''.join(y for y in scripts if y != x)}]" for x in scripts]
     ordered = rf"CASE WHEN regexp_matches({col}, '[\x{{64B}}-\x{{65F}}]{{2}}') THEN nfc_normalize({col}) ELSE {col} END"
     return f"""
         SELECT {keep}, CASE WHEN supheli THEN bicim ELSE {ordered} END AS bicim, coalesce(supheli AND regexp_matches(bicim, '{"|".join(pairs)}'), false) AS karisik FROM (

@@ -89,5 +89,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p2_found, p2_pieces, p3_found, p3_unmatched, p4_found, p5_found, p5_forms, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 
+def _duck(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _entries_sql() -> str:
+    """bulunan (alan, deger, terim_id) by comparing each entry with every name."""
+    plain, plain_as = terms.plain_letters()
+
+    def bare(c: str) -> str:
+        x = f"translate(lower(translate({c}, 'İI', 'ii')), {_duck(plain)}, {_duck(plain_as)})"
+        x = rf"trim(regexp_replace(regexp_replace({x}, '[\p{{Mn}}\p{{Cf}}ـ]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+        labels = "|".join(terms.LABELS)
+        x = rf"regexp_replace({x}, '^[(\[]?\d+\s*[).:\]]\s*', '')"
+        x = rf"regexp_replace({x}, '^(?:(?:{labels})\s*[-–:=]?\s+|[^:]{{1,20}}:\s+)', '')"
+        x = rf"regexp_replace({x}, '(\S)\s*(?:\([^()]*\)|\[[^\[\]]*\])$', '\1')"
+        x = rf"regexp_replace({x}, '\s+(?:/.*|[-–,;]\s*[^\s\d]{{0,4}}\s*\d[\d.\s]*)$', '')"
+        x = f"translate({x}, {_duck(terms.SCANNED)}, {_duck(terms.SCANNED_AS)})"
+        # DuckDB counts bytes: Arabic letters become single ones, which folded entries do not hold.
+        return rf"translate(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), 'ابتثجحخدذرزسشصضطظعغفقكلمنهويةء', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{{|}}~')"
+
+    return rf"""
+    girdi AS (SELECT DISTINCT id, alan, deger FROM (SELECT id, 'dereceRaw' AS alan, dereceRaw AS deger FROM corpus UNION ALL SELECT id, 'derece', derece FROM corpus) WHERE regexp_matches(deger, '[^\s\p{{Z}}\p{{Cf}}]')),
+    liste AS (SELECT terim_id, alan, {bare("ad")} AS ad FROM (SELECT terim_id, alan, unnest(list_append(coalesce(diger_adlar, []), terim)) AS ad FROM derece_terimleri)),
+    deger AS (SELECT DISTINCT alan, deger, {bare("deger")} AS q FROM girdi),
+    uzak AS (SELECT d.alan, d.deger, l.terim_id, damerau_levenshtein(d.q, l.ad) AS u FROM deger d JOIN liste l ON d.alan = l.alan AND abs(length(d.q) - length(l.ad)) <= 2 WHERE damerau_levenshtein(d.q, l.ad) <= CASE WHEN length(l.ad) < 5 THEN 0 WHEN length(l.ad) < 8 THEN 1 ELSE 2 END),
+    bulunan AS (SELECT alan, deger, arg_min(terim_id, (u, terim_id)) AS terim_id FROM uzak GROUP BY ALL)"""
+
+
+def _forms_sql(tab: str, c: str) -> str:
+    src = f"(SELECT id, {c} AS metin FROM {tab} WHERE {c} IS NOT NULL)"
+    return f"SELECT DISTINCT id, '{c}' AS alan, bicim FROM ({normalize.forms_sql(src, 'id, metin')}) WHERE bicim <> metin OR karisik"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    forms = " UNION ALL ".join(_forms_sql(*x) for x in (("corpus", "tr"), ("corpus", "ar"), ("ayat", "okunus")))
+    return {
+        "p3_found": f"WITH {_entries_sql()} SELECT DISTINCT id, g.alan, CAST(coalesce(terim_id, 0) AS INT) AS terim_id FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE NOT EXISTS (SELECT 1 FROM derece_terimleri t WHERE t.alan = g.alan AND t.terim = g.deger)",
+        "p3_unmatched": f"WITH {_entries_sql()} SELECT g.alan, g.deger, count(*) AS n FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE b.terim_id IS NULL GROUP BY ALL",
+        "p5_found": f"SELECT id, alan FROM ({forms})",
+        "p5_forms": forms,
+    }

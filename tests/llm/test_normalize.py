@@ -6,7 +6,7 @@ from rivaq.llm import normalize as N
 
 SAME = ["λόγος мир", "(Arapçası: صبر)", "[نسخة ٢]", "☕ çay", "İstanbul", "﴾حاشية﴿", "çift  blank", "satır\nsatır", "كَتَبَ", "", "x" * 100_000]
 OTHER = {
-    "i̇yi": "iyi", "Remνοnken": "Remvonken", "ѕӧуlеdі": "söyledi", "a b": "a b", "AB​C": "ABC", "［４2］": "[42]", "ﻟﻴﻠﺔ": "ليلة", "ﻻ": "لا", "یوم": "يوم", "کتاب": "كتاب",
+    "i̇yi": "iyi", "Remνοnken": "Remvonken", "ѕӧуlеdі": "söyledi", "sa'а̂ş": "sa'âş", "a b": "a b", "AB​C": "ABC", "［４2］": "[42]", "ﻟﻴﻠﺔ": "ليلة", "ﻻ": "لا", "یوم": "يوم", "کتاب": "كتاب",
     "karşı": "karşı", "Ｎusｋisｒub，": "Nuskisrub,", "أرض": "أرض", "كَّ": "كَّ", "ab\xadc": "abc", "ﬁn": "fin",
 }
 
