@@ -8,6 +8,8 @@ its last one then begins), those are chained per caller, and then all days count
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,23 +30,54 @@ def _starts(t: np.ndarray, first: int, length: int) -> list[int]:
     return out
 
 
-def _days(groups: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Ranges of the earlier window's end, and the beginning of the day's last window for each."""
-    t = groups.t.to_numpy()
+def _days(t: np.ndarray, length: int) -> tuple[list[int], list[int], int]:
+    """Of one day's sorted times: ranges of the earlier window's end, the beginning of the day's last window for each, and the last time."""
     near = int(np.searchsorted(t, t[0] // DAY * DAY + length, side="right"))
     nxt = np.searchsorted(t, t + length, side="right")
     last = np.arange(len(t))
     for i in range(len(t) - 1, -1, -1):
         last[i] = i if nxt[i] >= len(t) else last[nxt[i]]
-    ends, lasts = [], []
+    ends: list[int] = []
+    lasts: list[int] = []
     for i in range(min(near, len(t) - 1) + 1):
-        upto = t[i] - 1  # a window that ends by then makes i the first call after it
+        upto = int(t[i]) - 1  # a window that ends by then makes i the first call after it
         if lasts and lasts[-1] == t[last[i]]:
             ends[-1] = upto
         else:
             ends.append(upto)
-            lasts.append(t[last[i]])
-    return pd.DataFrame({"anahtar": groups.anahtar.iloc[0], "gun": groups.gun.iloc[0], "ends": [ends], "lasts": [lasts], "max_t": t[-1]})
+            lasts.append(int(t[last[i]]))
+    return ends, lasts, int(t[-1])
+
+
+def _each(keys: list[str], f: Callable[[dict[str, np.ndarray]], dict[str, list]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over rows sorted by keys: f of each group's columns, whole groups at a time; a group that spans batches is put together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def whole(parts: list[dict[str, np.ndarray]]) -> dict[str, list]:
+            return f(parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = {c: batch[c].to_numpy() for c in batch.columns}
+            change = np.zeros(len(batch), bool)
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
+            edges, out = [0, *np.flatnonzero(change).tolist(), len(batch)], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = {c: v[a:b] for c, v in cols.items()}
+                if held and any(held[-1][k][-1] != part[k][0] for k in keys):
+                    out.append(whole(held))
+                    held = []
+                held.append(part)
+            if out:
+                yield pd.DataFrame({c: [x for o in out for x in o[c]] for c in out[0]})
+        if held:
+            yield pd.DataFrame(whole(held))
+
+    return run
 
 
 def anchored(calls: DataFrame, key: str, ts: str, order: str, length_s: int = 3600, limit: int = 120) -> DataFrame:
@@ -57,30 +90,35 @@ def anchored(calls: DataFrame, key: str, ts: str, order: str, length_s: int = 36
     # Only the times matter for windows: equal ones are taken once.
     times = rows.groupBy("anahtar", "gun", "t").agg(F.lit(1).alias("b")).drop("b")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _days(pdf.sort_values("t"), length)
+    times = times.repartition("anahtar", "gun").sortWithinPartitions("anahtar", "gun", "t")
+
+    def fold(x: dict[str, np.ndarray]) -> dict[str, list]:
+        ends, lasts, most = _days(x["t"], length)
+        return {"anahtar": [x["anahtar"][0]], "gun": [x["gun"][0]], "ends": [ends], "lasts": [lasts], "max_t": [most]}
 
-    tables = times.groupBy("anahtar", "gun").applyInPandas(fold, "anahtar string, gun long, ends array<long>, lasts array<long>, max_t long")
+    tables = times.mapInPandas(_each(["anahtar", "gun"], fold), "anahtar string, gun long, ends array<long>, lasts array<long>, max_t long")
+    tables = tables.repartition("anahtar").sortWithinPartitions("anahtar", "gun")
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, end, ins = pdf.sort_values("gun"), -(2**62), []
-        for ends, lasts, max_t in zip(pdf.ends, pdf.lasts, pdf.max_t, strict=True):
+    def chain(x: dict[str, np.ndarray]) -> dict[str, list]:
+        end, ins = -(2**62), []
+        for ends, lasts, most in zip(x["ends"], x["lasts"], x["max_t"], strict=True):
             ins.append(end)
-            if end < max_t:  # else all calls of the day lie in the earlier window
+            if end < most:  # else all calls of the day lie in the earlier window
                 end = int(lasts[min(int(np.searchsorted(ends, end, side="left")), len(lasts) - 1)]) + length
-        return pd.DataFrame({"anahtar": pdf.anahtar, "gun": pdf.gun, "gelen": ins})
+        return {"anahtar": x["anahtar"].tolist(), "gun": x["gun"].tolist(), "gelen": ins}
 
-    entry = tables.groupBy("anahtar").applyInPandas(chain, "anahtar string, gun long, gelen long")
+    entry = tables.mapInPandas(_each(["anahtar"], chain), "anahtar string, gun long, gelen long")
 
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, end = np.sort(pdf.t.to_numpy()), int(pdf.gelen.iloc[0])
+    def windows(x: dict[str, np.ndarray]) -> dict[str, list]:
+        t, end = x["t"], int(x["gelen"][0])
         at = _starts(t, int(np.searchsorted(t, end, side="right")), length)
         begin = np.full(len(t), end - length, np.int64)
         for a, b in zip(at, [*at, len(t)][1:], strict=True):
             begin[a:b] = t[a]
-        return pd.DataFrame({"anahtar": pdf.anahtar.iloc[0], "gun": pdf.gun.iloc[0], "t": t, "bas": begin})
+        return {"anahtar": x["anahtar"].tolist(), "gun": x["gun"].tolist(), "t": t.tolist(), "bas": begin.tolist()}
 
-    marked = times.join(entry, ["anahtar", "gun"]).groupBy("anahtar", "gun").applyInPandas(windows, "anahtar string, gun long, t long, bas long")
+    both = times.join(entry, ["anahtar", "gun"]).repartition("anahtar", "gun").sortWithinPartitions("anahtar", "gun", "t")
+    marked = both.mapInPandas(_each(["anahtar", "gun"], windows), "anahtar string, gun long, t long, bas long")
     full = rows.join(marked, ["anahtar", "gun", "t"])
     n = F.row_number().over(Window.partitionBy("anahtar", "bas").orderBy("t", "sira"))
     return full.select("anahtar", "t", "sira", "bas", n.alias("sayi")).withColumn("asildi", F.col("sayi") > limit)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.operators import lexical
+from rivaq.session import saved
 
 CANDIDATES, SIMILAR, SURE = 8, 3, 0.45
 #: A candidate's score must exceed MATCH; it is taken over FULL as the confidence.
@@ -22,7 +23,7 @@ def score_matcher(candidates: DataFrame) -> DataFrame:
 
 def verify(index: lexical.Index, docs: DataFrame, passages: DataFrame, matcher: Callable[[DataFrame], DataFrame] = score_matcher, **search) -> DataFrame:
     """qid, bulundu, id, guven, benzerler (ids of up to SIMILAR other candidates) of each passage (qid, text) with candidates; an id that is no candidate is not found."""
-    found = lexical.search(index, docs, passages, CANDIDATES, **search)
+    found = saved(lexical.search(index, docs, passages, CANDIDATES, **search), "candidates")
     match = matcher(found).where(F.col("guven") >= SURE).join(found.select("qid", "id"), ["qid", "id"], "left_semi")
     rows = found.join(match.select("qid", F.col("id").alias("es"), "guven"), "qid", "left")
     lists = rows.groupBy("qid").agg(F.first("es").alias("id"), F.first("guven").alias("guven"), F.array_sort(F.collect_list(F.struct("sira", F.col("id").alias("aday")))).alias("v"))

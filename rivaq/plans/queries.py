@@ -109,17 +109,17 @@ def token_counts(spark, d):
 
 @query(f"WITH rel AS (SELECT * FROM documents), {index_sql('rel', 'doc_id', 'text')} SELECT id, term, f FROM tf")
 def term_frequency(spark, d):
-    return lexical.build(table(spark, d, "documents"), "doc_id", "text").postings.select("id", "term", "f")
+    return lexical.build(table(spark, d, "documents"), "doc_id", "text", keep=False).postings.select("id", "term", "f")
 
 
 @query(f"WITH rel AS (SELECT * FROM documents), {index_sql('rel', 'doc_id', 'text')} SELECT term, n FROM df")
 def document_frequency(spark, d):
-    return lexical.build(table(spark, d, "documents"), "doc_id", "text").terms
+    return lexical.build(table(spark, d, "documents"), "doc_id", "text", keep=False).terms
 
 
 @query(f"WITH rel AS (SELECT * FROM documents), {index_sql('rel', 'doc_id', 'text')} SELECT n_docs, CAST(total_len AS BIGINT) AS total_len, round(avg_len, 6) AS avg_len FROM st")
 def corpus_stats(spark, d):
-    return lexical.build(table(spark, d, "documents"), "doc_id", "text").stats.withColumn("avg_len", F.round("avg_len", 6))
+    return lexical.build(table(spark, d, "documents"), "doc_id", "text", keep=False).stats.withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(f"SELECT DISTINCT dereceRaw, {g_sql('dereceRaw')} AS sinif FROM corpus")
