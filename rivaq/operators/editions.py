@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rivaq.functions import text as X
@@ -117,3 +117,10 @@ def histogram(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     spark = df.sparkSession
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     return spark.createDataFrame([(x,) for x in domain], f"{column} string").join(F.broadcast(counts.where(F.col(column).isin(*domain))), column, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def observed(corpus: DataFrame, name: str = "corpus") -> tuple[DataFrame, Observation]:
+    """corpus as it is, and figures that fill in when it is written: rows, rows without Arabic, without English, of unknown grade."""
+    seen = Observation(name)
+    none = lambda c: F.count_if(F.coalesce(c, F.lit("")) == "")
+    return corpus.observe(seen, F.count(F.lit(1)).alias("n"), none("ar").alias("arapcasiz"), none("en").alias("ingilizcesiz"), F.count_if(F.col("derece") == X.UNKNOWN).alias("belirsiz")), seen

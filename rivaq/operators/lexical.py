@@ -6,7 +6,7 @@ Postings and lengths are what a query touches; the statistics cover all document
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,12 +84,13 @@ def _best(docs: tuple, asked: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np
     return q[keep], d[keep], v[keep]
 
 
-def search(index: Index, docs: DataFrame, queries: DataFrame, k: int, predicate: Column | None = None, key: str = "id", grade: str | None = "derece") -> DataFrame:
-    """qid, sira (rank from 1), id, skor (two places): the k best documents of each query. predicate and grade are columns of docs; ties go to the smaller id.
+def search(index: Index, docs: DataFrame, queries: DataFrame, k: int, predicate: Column | None = None, key: str = "id", grade: str | None = "derece", expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """qid, sira (rank from 1), id, skor (two places): the k best documents of each query. predicate and grade are columns of docs; ties go to the smaller id; expand may add words to the queries.
 
     The query set meets the documents that hold any of its terms block by block; each pair of blocks keeps its k best.
     """
     shipped(docs.sparkSession)
+    queries = expand(queries) if expand else queries
     facts = docs.select(F.col(key).alias("id"), F.when(F.col(grade) == X.UNKNOWN, PENALTY).otherwise(1.0).alias("carpan") if grade else F.lit(1.0).alias("carpan"), (predicate if predicate is not None else F.lit(True)).alias("uygun")).where("uygun")
     asked = saved(queries.select("qid", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf")), "asked")
     total = index.stats.select(F.struct("n_docs", "avg_len")).scalar()

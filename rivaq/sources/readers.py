@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +98,3 @@ def write_records(df: DataFrame, path: str, as_json: bool = False) -> None:
     """The whole of df in place of what was there."""
     (df.write.mode("overwrite").json if as_json else df.write.mode("overwrite").parquet)(path)
 
-
-def folder_of(path: str) -> str:
-    return os.path.dirname(path)

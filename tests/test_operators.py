@@ -61,6 +61,10 @@ def test_bm25_by_hand(spark):
     gain = lambda f, size: f * 2.5 / (f + 1.5 * (0.25 + 0.75 * size / avg))
     a, b = idf(3) * gain(2, 3) + 2 * idf(1) * gain(1, 3), idf(3) * gain(1, 1)
     assert [(h.id, h.skor) for h in hits] == [("a", round(a, 2)), ("d", round(b, 2)), ("b", round(b * 0.92, 2))]
+    wider = lexical.search(index, df, spark.createDataFrame([("q", "muz")], "qid string, text string"), 1, expand=lambda q: q.withColumn("text", F.concat("text", F.lit(" armut"))))
+    assert [h.id for h in wider.collect()] == ["a"]
+    few = lexical.scores(index, spark.createDataFrame([("q", "elma armut armut")], "qid string, text string")).collect()
+    assert {h.id: round(h.skor, 6) for h in few} == {"a": round(a, 6), "d": round(b, 6), "b": round(b, 6)}
     assert lexical.search(index, df.limit(0), spark.createDataFrame([("q", "elma")], "qid string, text string"), 8).count() == 0
 
 
@@ -146,6 +150,14 @@ def test_histogram_view_and_picks(spark):
     assert daily.picks(days, verses, df.limit(0)).where("hadis_id IS NULL").count() == 2
 
 
+def test_observed_figures(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", None, "sahih"), ("b", "", "y", "bilinmiyor")], "id string, ar string, en string, derece string")
+    out, seen = editions.observed(df)
+    readers.write_records(out, str(tmp_path / "o"), as_json=True)
+    readers.write_records(df, str(tmp_path / "o"))
+    assert seen.get == {"n": 2, "arapcasiz": 1, "ingilizcesiz": 1, "belirsiz": 1} and spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
 def test_encoder_batches(spark):
     df = spark.createDataFrame([(f"a{i}", "su taşı" if i % 2 else None) for i in range(10)], "id string, t string")
     rows = encoders.encoded(df, "id", F.col("t")).collect()
