@@ -70,7 +70,7 @@ def _breaks(text: str, m: re.Match, start: int, end: int) -> bool:
             return False
         if w.lower() in BEFORE_NAMES or w.lower() in BEFORE_ANY and not text[j].isupper():
             return False
-        if w.isdigit() and text[start : m.start()].strip(" \t" + OPENERS) == w:
+        if w.isdigit() and m.start() - start <= 24 and text[start : m.start()].strip(" \t" + OPENERS) == w:
             return False
     return True
 
