@@ -42,10 +42,11 @@ NAMES = {
     "az": "aze azj azb azerbaijani azerice azeri azərbaycanca azərbaycan aserbaidschanisch",
     "fa": "fas per pes prs persian farsi farsça farsca فارسی persisch persan",
 }
-_ARABIC = re.compile(r"[ء-يٮ-ۓ]")
-_LATIN = re.compile(r"[a-zɐ-ʯœæøßđłŋ]")
+_ARABIC = re.compile(r"[ء-يٮ-ۓ]+")
+_LATIN = re.compile(r"[a-zɐ-ʯœæøßđłŋ]+")
 _NOISE = re.compile(r"https?://\S+|\[\d+\]|[0-9٠-٩۰-۹]+")
 _OTHER = re.compile(r"[^\w]+|_+")
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0xFFFF)) if unicodedata.combining(c)) + "]+")
 _MARK = re.compile(r"\s*\[\d+\]")
 
 
@@ -63,13 +64,14 @@ def folded(text: str) -> str:
     """Small letters without accents, everything between words one blank."""
     low = _NOISE.sub(" ", text.replace("İ", "i").lower())
     if not low.isascii():
-        low = "".join(c for c in unicodedata.normalize("NFD", low.replace("ı", "i")) if not unicodedata.combining(c))
+        low = _MARKS.sub("", unicodedata.normalize("NFD", low.replace("ı", "i")))
     return f" {_OTHER.sub(' ', low).strip()} "
 
 
 def arabic(text: str) -> bool | None:
     """Whether most letters are Arabic; null for a text without letters of a known script."""
-    a, b = len(_ARABIC.findall(text)), len(_LATIN.findall(text))
+    a = 0 if text.isascii() else len("".join(_ARABIC.findall(text)))
+    b = len("".join(_LATIN.findall(text)))
     return None if not a + b else a > b
 
 
@@ -175,8 +177,9 @@ class Model:
     def costs(self, texts: list[str]) -> np.ndarray:
         """Phrases each language needs for each folded text; infinite for languages of another script."""
         out = np.full((len(texts), len(self.order)), np.inf)
+        scripts = [arabic(t) for t in texts]
         for script in (False, True):
-            mine = np.array([i for i, t in enumerate(texts) if arabic(t) is script], np.int64)
+            mine = np.array([i for i, x in enumerate(scripts) if x is script], np.int64)
             if len(mine):
                 size = np.array([len(texts[i]) for i in mine])
                 order = np.argsort(-size, kind="stable")
