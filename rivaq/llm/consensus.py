@@ -132,27 +132,42 @@ def _fit(votes: DataFrame, rounds: int) -> DataFrame:
     return params
 
 
-def _copies(votes: DataFrame, params: DataFrame) -> DataFrame:
-    """kopya, asil, rho: pairs of graders of whom the first copies the second in a share rho of the items both judge.
+def _led(votes: DataFrame, copies: DataFrame) -> DataFrame:
+    """id, g, r0..: how surely a copier says each class on an item because those copied say it."""
+    plain = votes.where(F.col("g") != SHARES).select("id", "g", "k")
+    hits = plain.select("id", F.col("g").alias("kopya")).join(copies, "kopya").join(plain.select("id", F.col("g").alias("asil"), "k"), ["id", "asil"])
+    rows = hits.groupBy("id", F.col("kopya").alias("g")).agg(*[F.coalesce(F.max(F.when(F.col("k") == c, F.col("rho"))), F.lit(0.0)).alias(f"r{c}") for c in range(M)])
+    total = F.greatest(F.lit(1.0), sum((F.col(f"r{c}") for c in range(1, M)), F.col("r0")))
+    return rows.select("id", "g", *[(F.col(f"r{c}") / total).alias(f"r{c}") for c in range(M)])
 
-    What the first would say by its own rows, given all other opinions on an item, the second's too, is set against how
-    often both say the same. Only the plainest pairs are taken at once: others may owe their surplus to those.
+
+def _copies(votes: DataFrame, params: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """kopya, asil, rho: pairs of graders, not yet in copies, of whom the first copies the second in a share rho of the items both judge.
+
+    What the first would say by its own rows, given all other opinions on an item, the second's too, and by those it is
+    known to copy, is set against how often both say the same. Only the plainest of the remaining pairs are taken at once,
+    and one for each copier: others may owe their surplus to those, and are measured again once they are known.
     """
-    w = [f"w{c}" for c in range(M)]
+    w, led = [f"w{c}" for c in range(M)], [f"r{c}" for c in range(M)]
     own = votes.join(params.select("g", "k", *w), ["g", "k"])
-    sets = own.groupBy("id").agg(F.collect_list(F.when(F.col("g") != SHARES, F.struct("g", "k", *[_weight(c).alias(f"w{c}") for c in range(M)]))).alias("v"), *[F.sum(_weight(c)).alias(f"s{c}") for c in range(M)]).where(F.size("v") > 1)
+    own = own.join(_led(votes, copies), ["id", "g"], "left") if copies is not None else own.select("*", *[F.lit(0.0).alias(r) for r in led])
+    sets = own.groupBy("id").agg(F.collect_list(F.when(F.col("g") != SHARES, F.struct("g", "k", *[_weight(c).alias(f"w{c}") for c in range(M)], *[F.coalesce(r, F.lit(0.0)).alias(r) for r in led]))).alias("v"), *[F.sum(_weight(c)).alias(f"s{c}") for c in range(M)]).where(F.size("v") > 1)
     x = sets.select(F.explode("v").alias("x"), "v", *[f"s{c}" for c in range(M)])
-    x = x.select(F.col("x.g").alias("g"), F.col("x.k").alias("k"), "v", *[(F.col(f"s{c}") - F.col(f"x.w{c}")).alias(f"s{c}") for c in range(M)])
-    x = _posterior(x, ["g", "k", "v"]).select("g", "k", F.explode("v").alias("y"), *Q).where(F.col("y.g") != F.col("g"))
-    both = x.groupBy("g", F.col("y.g").alias("h"), F.col("y.k").alias("k")).agg(F.count("*").alias("n"), F.sum((F.col("k") == F.col("y.k")).cast("double")).alias("agree"), *[F.sum(q).alias(q) for q in Q])
-    due = sum((F.col(Q[c]) * F.col(f"a{c}") / F.col(f"t{c}") for c in range(M)), F.lit(0.0))
+    x = x.select(F.col("x.g").alias("g"), F.col("x.k").alias("k"), F.array(*[F.col(f"x.{r}") for r in led]).alias("r"), "v", *[(F.col(f"s{c}") - F.col(f"x.w{c}")).alias(f"s{c}") for c in range(M)])
+    x = _posterior(x, ["g", "k", "r", "v"]).select("g", "k", "r", F.explode("v").alias("y"), *Q).where(F.col("y.g") != F.col("g"))
+    both = x.groupBy("g", F.col("y.g").alias("h"), F.col("y.k").alias("k")).agg(F.count("*").alias("n"), F.sum((F.col("k") == F.col("y.k")).cast("double")).alias("agree"), F.sum(F.get("r", F.col("y.k"))).alias("led"), *[F.sum(F.col(q) * (1 - _total("r"))).alias(q) for q in Q])
+    due = sum((F.col(Q[c]) * F.col(f"a{c}") / F.col(f"t{c}") for c in range(M)), F.col("led"))
     both = both.join(params, ["g", "k"]).groupBy("g", "h").agg(F.sum("n").alias("n"), F.sum("agree").alias("agree"), F.sum(due).alias("due"))
     both = both.withColumn("rho", (F.col("agree") - F.col("due")) / (F.col("n") - F.col("due"))).withColumn("z", (F.col("agree") - F.col("due")) / F.sqrt(F.col("due") * (1 - F.col("due") / F.col("n"))))
     judged = votes.where(F.col("g") != SHARES).groupBy("g").agg(F.count("*").alias("all"))
     both = both.join(judged, "g").join(judged.select(F.col("g").alias("h"), F.col("all").alias("all_h")), "h")
     both = both.where((F.col("all") < F.col("all_h")) | ((F.col("all") == F.col("all_h")) & (F.col("g") > F.col("h"))))
     both = both.where((F.col("rho") > EXCESS) & (F.col("z") > SURE)).select(F.col("g").alias("kopya"), F.col("h").alias("asil"), F.least("rho", F.lit(0.98)).alias("rho"))
-    return both.withColumn("_m", both.agg(F.max("rho")).scalar()).where(F.col("rho") >= PLAIN * F.col("_m")).drop("_m")
+    if copies is not None:
+        both = both.join(copies, ["kopya", "asil"], "left_anti")
+    both = saved(both, "pairs")  # a few rows, read twice
+    plain = both.withColumn("_m", both.agg(F.max("rho")).scalar()).where(F.col("rho") >= PLAIN * F.col("_m"))
+    return plain.groupBy("kopya").agg(F.max(F.struct("rho", "asil")).alias("p")).select("kopya", "p.asil", "p.rho")
 
 
 def _marked(votes: DataFrame, copies: DataFrame) -> DataFrame:
@@ -174,8 +189,7 @@ def fitted(corpus: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, D
     full, copies = saved(_with_shares(votes).repartition("id"), "votes"), None
     params = _fit(full, ROUNDS[0])
     while True:
-        new = _copies(full, params)
-        new = saved(new if copies is None else new.join(copies, ["kopya", "asil"], "left_anti"), "copies")
+        new = saved(_copies(full, params, copies), "copies")
         if new.isEmpty():
             return full, params, copies if copies is not None else new
         copies = new if copies is None else saved(copies.unionByName(new), "copies")

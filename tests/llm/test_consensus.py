@@ -55,6 +55,26 @@ def test_reliability_and_copies(fit):
     assert g["kopyaseven"].asil == "kotufive" and all(r.asil is None for k, r in g.items() if k != "kopyaseven")
 
 
+@pytest.mark.parametrize("source, often", [("Kötü Six", 0.95), ("Orta Three", 0.35)])
+def test_copiers_of_unequal_shares(spark, source, often):
+    """The second copies less than the first; where both copy the same, they do not copy each other."""
+    first = {"Kötü Six": "Kötü Five", "Orta Three": "Orta Three"}[source]
+    r = random.Random(3)
+    quality = {"Ali One": 0.95, "Veli Two": 0.9, "Orta Three": 0.7, "Orta Four": 0.7, "Kötü Five": 0.4, "Kötü Six": 0.4}
+    rows = []
+    for i in range(1500):
+        t, given = r.choice(C.CLASSES), {}
+        for g in r.sample(list(quality), r.randrange(2, 5)):
+            given[g] = t if r.random() < quality[g] else r.choice([c for c in C.CLASSES if c != t])
+        for name, whom, share in (("Kopya Seven", first, 0.95), ("Kopya Eight", source, 0.7)):
+            if whom in given and r.random() < often:
+                given[name] = given[whom] if r.random() < share else (t if r.random() < 0.5 else r.choice(C.CLASSES))
+        rows.append((f"h{i}", [(g, WORD[c], None) for g, c in given.items()], "x", 1))
+    copies = C.fitted(spark.createDataFrame(rows, SCHEMA), terms(spark))[2]
+    folded = {"Kötü Six": "kotusix", "Kötü Five": "kotufive", "Orta Three": "ortathree"}
+    assert {(c.kopya, c.asil) for c in copies.collect()} == {("kopyaseven", folded[first]), ("kopyaeight", folded[source])}
+
+
 def test_joins_give_the_same(spark, fit, monkeypatch):
     df, _, got, _ = fit
     monkeypatch.setattr(C, "CODES", 0)
