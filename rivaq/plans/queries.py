@@ -354,8 +354,10 @@ def table_counts(spark, d):
 
 @query()
 def encode_texts(spark, d):
+    """id, dil, v: each saying's Turkish and English text, the Turkish one where there is no English."""
     rows = table(spark, d, "corpus").select("id", "tr", "en").dropDuplicates(["id"])
-    return encoders.encoded(rows, "id", X.first_of(F.col("en"), F.col("tr")))
+    texts = F.array(*[F.struct(F.lit(c).alias("dil"), X.first_of(F.col(c), F.col("tr")).alias("metin")) for c in ("tr", "en")])
+    return encoders.encoded(rows.select("id", F.explode(texts).alias("m")).select("id", "m.*"), ["id", "dil"], F.col("metin"))
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (SELECT o_custkey FROM orders) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < -900 AND s_nationkey IS NOT NULL)")

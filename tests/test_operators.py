@@ -162,3 +162,26 @@ def test_encoder_batches(spark):
     df = spark.createDataFrame([(f"a{i}", "su taşı" if i % 2 else None) for i in range(10)], "id string, t string")
     rows = encoders.encoded(df, "id", F.col("t")).collect()
     assert len(rows) == 10 and all(abs(np.linalg.norm(r.v) - (int(r.id[1:]) % 2)) < 1e-6 for r in rows)
+
+
+def test_encoder_takes_whole_texts(spark):
+    long = "su taşı " * 100 + "kitap"
+    df = spark.createDataFrame([("a", long), ("b", "su"), ("c", "x" * 1200), ("d", None)], "id string, t string")
+    texts, encode = {r.id: r.t or "" for r in df.collect()}, encoders.hashing_encoder()
+    got = {r.id: r.v for r in encoders.encoded(df, "id", F.col("t")).collect()}
+    assert all(np.allclose(got[k], encode([t])[0], atol=1e-6) for k, t in texts.items())
+    assert not np.allclose(got["a"], encode([long[:500]])[0], atol=1e-3)
+    assert all("".join(encoders.windows(t, 50)) == t and max(map(len, encoders.windows(t, 50))) <= 50 for t in texts.values())
+    parts = {r.id: r.v for r in encoders.encoded(df, "id", F.col("t"), longest=50).collect()}
+    mean = sum(len(w) * encode([w])[0] for w in encoders.windows(long, 50))
+    assert np.allclose(parts["a"], mean / np.linalg.norm(mean), atol=1e-6) and np.allclose(parts["b"], got["b"]) and not np.any(parts["d"])
+
+
+def test_encode_texts_gives_both_languages(spark, data):
+    from rivaq.registry import queries
+
+    got = {(r.id, r.dil): r.v for r in queries()["encode_texts"](spark, data).collect()}
+    corpus = {r.id: r for r in spark.read.parquet(f"{data}/corpus.parquet").collect()}
+    assert set(got) == {(k, dil) for k in corpus for dil in ("tr", "en")}
+    encode = encoders.hashing_encoder()
+    assert all(np.allclose(v, encode([corpus[k][dil] or corpus[k].tr or ""])[0], atol=1e-6) for (k, dil), v in got.items())
