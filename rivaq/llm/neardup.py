@@ -71,7 +71,7 @@ def _hashed(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, alan, h (64-bit hash of the set), n (words), w (sorted 32-bit hashes as bytes) of each text with a word."""
     parts = " UNION ALL ".join(f"SELECT k, CAST({i} AS TINYINT) AS alan, c{i} AS metin FROM t WHERE c{i} IS NOT NULL AND c{i} <> ''" for i in range(len(columns)))
-    sql = f"SELECT k, alan, {words_sql('bicim')} AS w FROM ({N.forms_sql(f'({parts})', 'k, alan')})"
+    sql = f"SELECT k, alan, {words_sql('bicim')} AS w FROM ({N.whole_sql(f'({parts})', 'k, alan')})"
     schema = pa.schema([("k", pa.string()), ("alan", pa.int8()), ("w", pa.list_(pa.string()))])
     query = N.run_duckdb(sql, schema)
     out = pa.schema([("k", pa.string()), ("alan", pa.int8()), ("h", pa.int64()), ("n", pa.int32()), ("w", pa.binary())])

@@ -36,6 +36,10 @@ INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{640}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B
 BLANKS = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 # Ranges whose compatibility forms are letters or digits of another width or shape.
 SHAPES = ((0xFF01, 0xFF5E), (0xFF61, 0xFFDC), (0xFB00, 0xFB1C), (0xFB50, 0xFBB1), (0xFBD3, 0xFD3D), (0xFD50, 0xFDFB), (0xFE70, 0xFEFC), (0x1D400, 0x1D7FF), (0xB2, 0xB3), (0xB9, 0xB9), (0x2070, 0x2079), (0x207F, 0x2089), (0x2460, 0x2468), (0x24B6, 0x24E9))
+# Characters of texts that need no closer look; Arabic-script letters outside the alphabet; scripts that no word mixes.
+USUAL = r"\x{9}\x{A}\x{D}\x{20}-\x{7E}«»À-žЀ-ӿ\x{621}-\x{63A}\x{641}-\x{652}\x{660}-\x{669}،؛؟\x{2010}-\x{2027}\x{FD3E}\x{FD3F}"
+FOREIGN = r"\x{620}\x{63B}-\x{63F}\x{66E}\x{66F}\x{671}-\x{6D3}\x{6D5}\x{6EE}\x{6EF}\x{6FA}-\x{6FC}\x{6FF}\x{750}-\x{77F}\x{870}-\x{887}\x{889}-\x{88E}\x{8A0}-\x{8C9}"
+SCRIPTS = [r"[\p{Latin}]", r"[\p{Cyrillic}]", r"[\p{Greek}]", r"[\p{Arabic}]", r"[\p{Hebrew}]", r"[\p{Armenian}]", r"[\p{Georgian}]", r"[\p{Devanagari}]", r"[\p{Syriac}]", r"[\p{Thaana}]", r"[\p{Ethiopic}]", r"[\p{Coptic}]", r"[\p{Cherokee}]", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}]"]
 MARKS = "̧̨̣̀́̂̃̄̆̇̈̊̋̌"
 
 
@@ -113,6 +117,28 @@ def forms_sql(source: str, keep: str, col: str = "metin") -> str:
             FROM (SELECT *, CASE WHEN supheli THEN {form_sql(col)} END AS b FROM (SELECT *, {suspect_sql(col)} AS supheli FROM {source})))"""
 
 
+@lru_cache(1)
+def rest() -> tuple[str, str]:
+    """Single letters and digits of another shape outside SHAPES, and what they stand for."""
+    known, one, to = {ord(c) for c in maps()[0]}, [], []
+    for c in map(chr, range(0x80, 0x20000)):
+        k = unicodedata.normalize("NFKC", c)
+        tag = unicodedata.decomposition(c)
+        if tag.startswith("<") and len(k) == 1 and ord(c) not in known and unicodedata.category(c)[0] in "LN" and unicodedata.category(k)[0] in "LN" and not 0x3131 <= ord(c) <= 0x318E:
+            one.append(c), to.append(k)
+    return "".join(one), "".join(to)
+
+
+def whole_sql(source: str, keep: str, col: str = "metin") -> str:
+    """As forms_sql, with asil, the text itself: texts with a character outside USUAL are brought to NFC and to plain shapes before, and searched afterwards for foreign letters and mixed words."""
+    one, to = rest()
+    beside = r"[\x{64B}-\x{652}''’ʼ]+"
+    unusual = rf"regexp_matches({col}, '[^{USUAL}]|[A-Za-zÀ-ɏ]{beside}[\x{{620}}-\x{{64A}}]|[\x{{620}}-\x{{64A}}]{beside}[A-Za-zÀ-ɏ]')"
+    pairs = [rf"{x}[\p{{M}}''’ʼ]*[{''.join(y[1:-1] for y in SCRIPTS if y != x)}]" for x in SCRIPTS]
+    first = f"SELECT *, CASE WHEN _u THEN nfc_normalize(translate(asil, {_quoted(one)}, {_quoted(to)})) ELSE asil END AS {col} FROM (SELECT * RENAME ({col} AS asil), {unusual} AS _u FROM {source})"
+    return f"SELECT {keep}, asil, bicim, karisik OR (_u AND regexp_matches(bicim, '[{FOREIGN}]|{'|'.join(pairs)}')) AS karisik FROM ({forms_sql(f'({first})', f'{keep}, asil, _u', col)})"
+
+
 def run_duckdb(sql: str, schema: pa.Schema):
     """A function for mapInArrow that runs sql over each batch, named t."""
 
@@ -137,7 +163,7 @@ def normalized(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     shipped(df.sparkSession)
     src = df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
     parts = " UNION ALL ".join(f"SELECT k, {_quoted(c)} AS alan, c{i} AS metin FROM t WHERE c{i} IS NOT NULL" for i, c in enumerate(columns))
-    sql = f"SELECT k, alan, metin, bicim, (bicim <> metin OR karisik) AS degisti FROM ({forms_sql(f'({parts})', 'k, alan, metin')})"
+    sql = f"SELECT k, alan, asil AS metin, bicim, (bicim <> asil OR karisik) AS degisti FROM ({whole_sql(f'({parts})', 'k, alan')})"
     schema = pa.schema([("k", pa.string()), ("alan", pa.string()), ("metin", pa.string()), ("bicim", pa.string()), ("degisti", pa.bool_())])
     out = src.mapInArrow(run_duckdb(sql, schema), T.StructType([T.StructField("k", T.StringType()), T.StructField("alan", T.StringType()), T.StructField("metin", T.StringType()), T.StructField("bicim", T.StringType()), T.StructField("degisti", T.BooleanType())]))
     return out.withColumnRenamed("k", key)
@@ -148,6 +174,6 @@ def changed(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     shipped(df.sparkSession)
     src = df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
     parts = " UNION ALL ".join(f"SELECT k, {_quoted(c)} AS alan, c{i} AS metin FROM t WHERE c{i} IS NOT NULL" for i, c in enumerate(columns))
-    sql = f"SELECT DISTINCT k, alan FROM ({forms_sql(f'({parts})', 'k, alan, metin')}) WHERE bicim <> metin OR karisik"
+    sql = f"SELECT DISTINCT k, alan FROM ({whole_sql(f'({parts})', 'k, alan')}) WHERE bicim <> asil OR karisik"
     schema = pa.schema([("k", pa.string()), ("alan", pa.string())])
     return src.mapInArrow(run_duckdb(sql, schema), "k string, alan string").withColumnRenamed("k", key).distinct()

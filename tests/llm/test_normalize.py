@@ -55,3 +55,13 @@ def test_every_rule_is_a_pair():
 def test_presentation_forms_reach_the_alphabet(spark, c):
     got = forms(spark, c)
     assert got[0].bicim in "كي"
+
+
+def test_rare_characters_are_seen(spark):
+    rare = {"5 \u212a": "5 K", "\u212b": "Å", "\u2126": "Ω", "\u0628\u0670\u0651": "\u0628\u0651\u0670", "\u304b\u3099": "が", "mi\u017f": "mis", "1\u00aa": "1a", "\u210b": "H"}
+    foreign = ["\u0628\u0679", "\u0688", "\u06d3", "\u06a1", "ab\u05d0", "\u1e25\u0628", "a\u064e\u0628"]
+    plain = ["شَيْءٌ", "שלום su", "x™", "№ 5", "日本かな", "\u0628\u0651\u0670", "½"]
+    got = forms(spark, *rare, *foreign, *plain)
+    assert [got[i].bicim for i in range(len(rare))] == list(rare.values())
+    assert [r.degisti for _, r in sorted(got.items())] == [True] * len(rare) + [True] * len(foreign) + [False] * len(plain)
+    assert {i: r.metin for i, r in got.items()} == dict(enumerate([*rare, *foreign, *plain]))
