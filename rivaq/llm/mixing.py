@@ -5,7 +5,7 @@ point fills the slot. The texts of a source, shuffled anew for each repetition,
 blocks; the r-th slot of a source takes its r-th block. Documents are neither dropped nor sampled within a stream: a
 source that is used once or more contributes all its texts before any is repeated.
 
-The total is the largest at which every source with texts reaches its share within its max_repeat (a smaller one may be
+The total is the largest, counted in slots, at which no source with texts is asked for more than its max_repeat (a smaller one may be
 asked for; a larger one gives what max_repeat allows, and the report shows what is missing). Sources without texts
 contribute nothing, and the shares of the others keep their proportions. Rows without source, positive share or positive
 max_repeat, and documents of other sources, take no part. Repeated targets of a source count once, the largest.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from rivaq.llm import tokens as K
 from rivaq.session import saved
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Largest block, in tokens; fewest slots wanted before blocks grow; slots in which ranks are counted together.
-BLOCK, SLOTS, CHUNK = 256, 1024, 4096
+#: Largest block, in tokens; fewest slots wanted before blocks grow; slots in which ranks are counted together; slots counted at once for the total.
+BLOCK, SLOTS, CHUNK, COUNTED = 256, 1024, 4096, 1 << 18
 
 
 def _sizes(documents: DataFrame, targets: DataFrame, folder: str, vocabulary: str) -> tuple[DataFrame, list]:
@@ -42,15 +43,29 @@ def _slots(goals: list, total: int | None) -> tuple[int, int, list[tuple[str, fl
         return 1, 0, []
     most = min(g[3] * g[2] * share / g[1] for g in have)
     block = int(max(1, min(BLOCK, most // SLOTS)))
-    slack = lambda n: 3 + math.log2(n + 2)  # how far a source's slots may exceed their share
-    n = int(min(g[3] * g[2] // block * share / g[1] for g in have))
-    while n > 0 and any(n * g[1] / share + slack(n) > g[3] * g[2] // block for g in have):
-        n -= max(1, n // 1000)
+    n = _reached(have, share, block)
     if total is not None:
         n = total // block
     return block, n, [(g[0], g[1] / share, g[3], g[3] * g[2] // block) for g in have]
 
 
+def _reached(have: list, share: float, block: int) -> int:
+    """The largest number of slots of which no source gets more than the blocks it has, by counting the slots each gets."""
+    edges = np.cumsum([g[1] / share for g in have])[:-1]
+    limit = np.array([g[3] * g[2] // block for g in have])
+    used, n = np.zeros(len(have), dtype=np.int64), 0
+    while True:
+        at = np.arange(n, n + COUNTED, dtype=np.float64) * GOLDEN
+        source = np.searchsorted(edges, at - np.floor(at), side="right")
+        over = COUNTED
+        for i in np.flatnonzero(used + np.bincount(source, minlength=len(have)) > limit):
+            over = min(over, int(np.flatnonzero(source == i)[limit[i] - used[i]]))
+        if over < COUNTED:
+            return n + over
+        used += np.bincount(source, minlength=len(have))
+        n += COUNTED
+
+
 def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, folder: str = K.FOLDER, vocabulary: str = K.VOCABULARY) -> DataFrame:
     """yer (slot), source, tekrar (from 0), doc_id, bas (first token of the text), adet (tokens): the mixture, in order of yer."""
     sizes, goals = _sizes(documents, targets, folder, vocabulary)

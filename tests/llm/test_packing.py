@@ -107,3 +107,22 @@ def test_mixture(spark):
     big = {r.source: r for r in X.report(df, goals, total=10**6).collect()}
     assert all(r.kullanim is None or r.kullanim <= r.max_repeat for r in big.values())
     assert X.mixed(df.limit(0), goals).count() == 0 and X.mixed(df, goals.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("have", [[("a", 0.9, 1, 1000), ("b", 0.1, 1, 3)], [("a", 0.5, 2, 40_000), ("b", 0.3, 1, 90_000), ("c", 0.2, 3, 7_000), ("yok", 0.1, 1, 0)], [("a", 1.0, 2, 5)]])
+def test_the_total_is_the_largest(have):
+    block, n, able = X._slots(have, None)
+
+    def fits(n):
+        used = dict.fromkeys((g[0] for g in able), 0)
+        for i in range(n):
+            x, edge, at = i * X.GOLDEN - int(i * X.GOLDEN), 0.0, able[-1][0]
+            for s, w, _, _ in able[:-1]:
+                edge += w
+                if x < edge:
+                    at = s
+                    break
+            used[at] += 1
+        return all(used[s] <= most for s, _, _, most in able)
+
+    assert n > 0 and fits(n) and not fits(n + 1)
