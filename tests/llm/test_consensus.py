@@ -77,10 +77,13 @@ def test_copiers_of_unequal_shares(spark, source, often):
 
 def test_joins_give_the_same(spark, fit, monkeypatch):
     df, _, got, _ = fit
-    monkeypatch.setattr(C, "CODES", 0)
-    monkeypatch.setattr(C, "ROUNDS", (2, 2))
+    monkeypatch.setattr(C, "GRADERS", 0)
+    monkeypatch.setattr(C, "ROUNDS", 1)
+    monkeypatch.setattr(C, "EARLY", 1)
+    monkeypatch.setattr(C, "AT_ONCE", 50)
     a = {r.id: (r.derece, round(r.guven, 6)) for r in C.consensus(df, terms(spark)).collect()}
-    monkeypatch.setattr(C, "CODES", 100)
+    monkeypatch.setattr(C, "GRADERS", 100)
+    monkeypatch.setattr(C, "HELD", 3)
     assert a == {r.id: (r.derece, round(r.guven, 6)) for r in C.consensus(df, terms(spark)).collect()}
 
 
