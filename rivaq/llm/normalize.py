@@ -2,6 +2,7 @@
 
 The form: marks composed and in canonical order (NFC), no dot above a letter that has one, plain blanks, nothing
 invisible, letters and digits of ordinary width and shape, Arabic words in the Arabic alphabet, one script per word (an apostrophe is within a word).
+A word that mixes scripts takes its Latin form, unless letters without a Latin look-alike and more letters than Latin ones speak for another script.
 
 Null stays null, the empty text stays empty, texts of any length are taken whole. Vowel signs, brackets, symbols,
 runs of blanks, line breaks and words wholly in another script stay as they are.
@@ -24,6 +25,9 @@ CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјкмнорстухԁԛԝһӏ
 CYRILLIC_AS = "ABESIJKMHOPCTYXaesijkmhopctyxdqwhlrn"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαβεικνορτυχηγωϲ"
 GREEK_AS = "ABEZHIKMNOPTYXabeikvoptuxnywc"
+# Letters of scripts that do not occur as words here, and the Latin letters they look like.
+RARE = "օոսհցզքՕՍՏԼᎠᎡᎢᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏚᏙᏔᏃ"
+RARE_AS = "onuhgqfOUSLDRTABCEGHJKLMPSVWZ"
 # Letters of other Arabic-script alphabets and the letters of the Arabic alphabet written for them.
 ARABIC = {
     "ٱ": "ا", "ک": "ك", "ڪ": "ك", "ګ": "ك", "گ": "ك", "ڭ": "ك", "ی": "ي", "ې": "ي", "ے": "ي", "ێ": "ي", "ۍ": "ي",
@@ -59,13 +63,29 @@ def maps() -> tuple[str, str, list[tuple[str, str]], str, str]:
                     one.append(c), to.append(k)
                 else:
                     several.append((c, k))
-    like = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
-    for c, k in list(like.items()):
+    like = _marked(dict(zip(CYRILLIC + GREEK + RARE, CYRILLIC_AS + GREEK_AS + RARE_AS, strict=True)))
+    return "".join(one), "".join(to), several, "".join(like), "".join(like.values())
+
+
+def _marked(like: dict[str, str]) -> dict[str, str]:
+    """like, and the same letters with a mark."""
+    both = dict(like)
+    for c, k in like.items():
         for m in MARKS:
             x, y = (unicodedata.normalize("NFC", z + m) for z in (c, k))
             if len(x) == len(y) == 1:
-                like[x] = y
-    return "".join(one), "".join(to), several, "".join(like), "".join(like.values())
+                both[x] = y
+    return both
+
+
+@lru_cache(1)
+def backwards() -> list[tuple[str, str, str, str]]:
+    """For Cyrillic and Greek: a class of the script's letters, its look-alikes, and Latin letters and what they stand for in words of the script."""
+    out = []
+    for name, letters, latin in (("Cyrillic", CYRILLIC, CYRILLIC_AS), ("Greek", GREEK, GREEK_AS)):
+        to = _marked({k: c for c, k in reversed(list(zip(letters, latin, strict=True)))})
+        out.append((rf"\p{{{name}}}", "".join(_marked(dict(zip(letters, latin, strict=True)))), "".join(to), "".join(to.values())))
+    return out
 
 
 def form_sql(col: str) -> str:
@@ -87,7 +107,7 @@ def suspect_sql(col: str) -> str:
     """Whether a text can differ from its form at all: most texts do not, and are left as they are after one scan."""
     one, _, several, _, _ = maps()
     spread = _ranges(one + "".join(c for c, _ in several) + ARABIC_OTHER)
-    return rf"regexp_matches({col}, '[{spread}{INVISIBLE}{BLANKS}\x{{300}}-\x{{36F}}\x{{653}}-\x{{655}}\x{{370}}-\x{{52F}}\x{{1C80}}-\x{{1C8F}}\x{{1DC0}}-\x{{1DFF}}\x{{1F00}}-\x{{1FFF}}\x{{2DE0}}-\x{{2DFF}}\x{{A640}}-\x{{A69F}}]|[A-Za-zÀ-ɏ][\x{{620}}-\x{{64A}}]|[\x{{620}}-\x{{65F}}][A-Za-zÀ-ɏ]')"
+    return rf"regexp_matches({col}, '[{spread}{INVISIBLE}{BLANKS}\x{{300}}-\x{{36F}}\x{{653}}-\x{{655}}\x{{370}}-\x{{52F}}\x{{530}}-\x{{58F}}\x{{13A0}}-\x{{13FF}}\x{{1C80}}-\x{{1C8F}}\x{{1DC0}}-\x{{1DFF}}\x{{1F00}}-\x{{1FFF}}\x{{2DE0}}-\x{{2DFF}}\x{{A640}}-\x{{A69F}}]|[A-Za-zÀ-ɏ][\x{{620}}-\x{{64A}}]|[\x{{620}}-\x{{65F}}][A-Za-zÀ-ɏ]')"
 
 
 def _ranges(chars: str) -> str:
@@ -104,10 +124,11 @@ def _ranges(chars: str) -> str:
 def forms_sql(source: str, keep: str, col: str = "metin") -> str:
     """All columns named in keep, with bicim, the form of col, and karisik: whether a word still mixes scripts."""
     _, _, _, like, latin = maps()
-    other = r"[\p{Cyrillic}\p{Greek}]"
+    other = r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]"
     words = r"regexp_extract_all(b, '[\p{L}\p{M}''’ʼ]+|[^\p{L}\p{M}''’ʼ]+')"
     mixed = rf"regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '{other}')"
-    fixed = f"nfc_normalize(array_to_string(list_transform({words}, lambda w: CASE WHEN {mixed} THEN translate(w, {_quoted(like)}, {_quoted(latin)}) ELSE w END), ''))"
+    theirs = [rf"WHEN length(regexp_replace(w, '[^{script}]', '', 'g')) > length(regexp_replace(w, '[^\p{{Latin}}]', '', 'g')) AND regexp_matches(translate(w, {_quoted(own)}, ''), '{script}') THEN translate(w, {_quoted(a)}, {_quoted(b)})" for script, own, a, b in backwards()]
+    fixed = f"nfc_normalize(array_to_string(list_transform({words}, lambda w: CASE WHEN NOT ({mixed}) THEN w {' '.join(theirs)} ELSE translate(w, {_quoted(like)}, {_quoted(latin)}) END), ''))"
     scripts = [r"\p{Latin}", r"\p{Cyrillic}", r"\p{Greek}", r"\p{Arabic}"]
     pairs = [rf"{x}[\p{{M}}''’ʼ]*[{''.join(y for y in scripts if y != x)}]" for x in scripts]
     ordered = rf"CASE WHEN regexp_matches({col}, '[\x{{64B}}-\x{{65F}}]{{2}}') THEN nfc_normalize({col}) ELSE {col} END"
@@ -118,24 +139,33 @@ def forms_sql(source: str, keep: str, col: str = "metin") -> str:
 
 
 @lru_cache(1)
-def rest() -> tuple[str, str]:
-    """Single letters and digits of another shape outside SHAPES, and what they stand for."""
-    known, one, to = {ord(c) for c in maps()[0]}, [], []
-    for c in map(chr, range(0x80, 0x20000)):
+def rest() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters and digits of another shape outside SHAPES: single ones and what they stand for, and those that stand for several."""
+    known, one, to, several = {ord(c) for c in maps()[0]}, [], [], []
+    for c in map(chr, range(0x17F, 0x20000)):
         k = unicodedata.normalize("NFKC", c)
-        tag = unicodedata.decomposition(c)
-        if tag.startswith("<") and len(k) == 1 and ord(c) not in known and unicodedata.category(c)[0] in "LN" and unicodedata.category(k)[0] in "LN" and not 0x3131 <= ord(c) <= 0x318E:
+        if ord(c) in known or not unicodedata.decomposition(c).startswith("<") or unicodedata.category(c)[0] not in "LN" or 0x3131 <= ord(c) <= 0x318E:
+            continue
+        if len(k) == 1 and unicodedata.category(k)[0] in "LN":
             one.append(c), to.append(k)
-    return "".join(one), "".join(to)
+        elif len(k) > 1 and k.isascii() and k.isalnum():
+            several.append((c, k))
+    for c in "ªº":  # below 0x17F only these: other forms there are letters of living alphabets
+        one.append(c), to.append(unicodedata.normalize("NFKC", c))
+    return "".join(one), "".join(to), several
 
 
 def whole_sql(source: str, keep: str, col: str = "metin") -> str:
     """As forms_sql, with asil, the text itself: texts with a character outside USUAL are brought to NFC and to plain shapes before, and searched afterwards for foreign letters and mixed words."""
-    one, to = rest()
+    one, to, several = rest()
+    shaped = spelled = f"translate(asil, {_quoted(one)}, {_quoted(to)})"
+    for c, k in several:
+        spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(k)})"
+    shaped = f"CASE WHEN regexp_matches(asil, '[{''.join(c for c, _ in several)}]') THEN {spelled} ELSE {shaped} END"
     beside = r"[\x{64B}-\x{652}''’ʼ]+"
     unusual = rf"regexp_matches({col}, '[^{USUAL}]|[A-Za-zÀ-ɏ]{beside}[\x{{620}}-\x{{64A}}]|[\x{{620}}-\x{{64A}}]{beside}[A-Za-zÀ-ɏ]')"
     pairs = [rf"{x}[\p{{M}}''’ʼ]*[{''.join(y[1:-1] for y in SCRIPTS if y != x)}]" for x in SCRIPTS]
-    first = f"SELECT *, CASE WHEN _u THEN nfc_normalize(translate(asil, {_quoted(one)}, {_quoted(to)})) ELSE asil END AS {col} FROM (SELECT * RENAME ({col} AS asil), {unusual} AS _u FROM {source})"
+    first = f"SELECT *, CASE WHEN _u THEN nfc_normalize({shaped}) ELSE asil END AS {col} FROM (SELECT * RENAME ({col} AS asil), {unusual} AS _u FROM {source})"
     return f"SELECT {keep}, asil, bicim, karisik OR (_u AND regexp_matches(bicim, '[{FOREIGN}]|{'|'.join(pairs)}')) AS karisik FROM ({forms_sql(f'({first})', f'{keep}, asil, _u', col)})"
 
 

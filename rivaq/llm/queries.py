@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,16 +118,48 @@ def _entries_sql() -> str:
     bulunan AS (SELECT alan, deger, arg_min(terim_id, (u, terim_id)) AS terim_id FROM uzak GROUP BY ALL)"""
 
 
-def _forms_sql(tab: str, c: str) -> str:
-    src = f"(SELECT id, {c} AS metin FROM {tab} WHERE {c} IS NOT NULL)"
-    return f"SELECT DISTINCT id, '{c}' AS alan, bicim FROM ({normalize.forms_sql(src, 'id, metin')}) WHERE bicim <> metin OR karisik"
+def _changed_characters() -> str:
+    """Characters that the consistent form holds in another way, and that way, from the character database; and the letters written for foreign Arabic ones."""
+    rows = dict(normalize.ARABIC)
+    for c in map(chr, [*range(0x7F, 0xD800), *range(0xF900, 0x20000), *range(0xE0000, 0xE1000)]):
+        kind, whole, tag = unicodedata.category(c), unicodedata.normalize("NFKC", c).strip(), unicodedata.decomposition(c)
+        if kind in ("Cc", "Cf") or c in "\u0640\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u180b\u180c\u180d" or "\ufe00" <= c <= "\ufe0f":
+            rows[c] = ""
+        elif kind == "Zs":
+            rows[c] = " "
+        elif tag.startswith("<") and not ("\u3131" <= c <= "\u318e" or c in "ĲĳĿŀŉµ"):
+            letters = whole and all(unicodedata.category(x)[0] in "LNM" for x in whole)
+            if kind[0] in "LNM" and letters or "<circle>" in tag and kind == "So" and whole.isascii() or "\uff01" <= c <= "\uffdc":
+                rows[c] = whole
+    return ", ".join(f"({_duck(a)}, {_duck(b)})" for a, b in rows.items() if "\0" not in a)
+
+
+def _forms_sql(what: str) -> str:
+    """what of metin, bicim and bozuk (a word of two scripts or a foreign Arabic letter is left), character by character instead of by whole-text expressions."""
+    alphabet = "ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي"
+    scripts = " ".join(rf"WHEN regexp_matches(c, '\p{{{x}}}') THEN '{x}'" for x in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Armenian", "Cherokee", "Georgian"))
+    base = dict(zip(normalize.CYRILLIC + normalize.GREEK, normalize.CYRILLIC_AS + normalize.GREEK_AS, strict=True))
+    with_mark = {unicodedata.normalize("NFC", a + m): unicodedata.normalize("NFC", b + m) for a, b in base.items() for m in map(chr, range(0x300, 0x340))}
+    like = ", ".join(f"({_duck(a)}, {_duck(b)})" for a, b in (base | {a: b for a, b in with_mark.items() if len(a) == 1}).items())
+    split = "SELECT id, alan, metin, generate_subscripts(h, 1) AS yer, unnest(h) AS c FROM (SELECT *, regexp_extract_all({}, '(?s).') AS h FROM {})"
+    return rf"""
+    WITH degisen(c, olan) AS (VALUES {_changed_characters()}), benzer(c, latin) AS (VALUES {like}),
+    girdi AS (SELECT DISTINCT * FROM (SELECT id, 'tr' AS alan, tr AS metin FROM corpus UNION ALL SELECT id, 'ar', ar FROM corpus UNION ALL SELECT id, 'okunus', okunus FROM ayat) WHERE metin IS NOT NULL),
+    bir AS (SELECT id, alan, metin, nfc_normalize(coalesce(string_agg(coalesce(olan, c), '' ORDER BY yer), '')) AS b FROM ({split.format("metin", "girdi")}) LEFT JOIN degisen USING (c) GROUP BY ALL),
+    iki AS (SELECT * REPLACE (replace(replace(b, 'i̇', 'i'), 'ı̇', 'i') AS b) FROM bir),
+    harf AS ({split.format("b", "iki")}),
+    tur AS (SELECT c, regexp_matches(c, '[\p{{L}}\p{{M}}''’ʼ]') AS ic, CASE {scripts} END AS yazi, (regexp_matches(c, '^\p{{Arabic}}$') AND regexp_matches(c, '\p{{Lo}}') AND NOT contains('{alphabet}', c)) AS yabanci FROM (SELECT DISTINCT c FROM harf)),
+    sozcuk AS (SELECT *, sum(CASE WHEN ic THEN 0 ELSE 1 END) OVER (PARTITION BY id, alan ORDER BY yer) + CASE WHEN ic THEN 0 ELSE 0.5 END AS s FROM harf JOIN tur USING (c)),
+    yaz AS (SELECT id, alan, s, count(DISTINCT yazi) AS n, count(DISTINCT yazi) FILTER (yazi IN ('Latin', 'Cyrillic', 'Greek')) AS m FROM sozcuk GROUP BY ALL HAVING n > 1),
+    son AS (SELECT w.id, w.alan, w.metin, w.yer, w.yabanci, y.n, CASE WHEN y.m > 1 AND w.yazi IN ('Cyrillic', 'Greek') THEN coalesce(b.latin, w.c) ELSE w.c END AS c, CASE WHEN y.m > 1 AND w.yazi IN ('Cyrillic', 'Greek') AND b.latin IS NULL OR y.n > greatest(y.m, 1) THEN true ELSE w.yabanci END AS bozuk FROM sozcuk w LEFT JOIN yaz y USING (id, alan, s) LEFT JOIN benzer b ON w.c = b.c),
+    butun AS (SELECT id, alan, metin, nfc_normalize(string_agg(c, '' ORDER BY yer)) AS bicim, bool_or(bozuk) AS bozuk FROM son GROUP BY ALL UNION ALL SELECT id, alan, metin, b, false FROM iki WHERE b = '')
+    {what}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    forms = " UNION ALL ".join(_forms_sql(*x) for x in (("corpus", "tr"), ("corpus", "ar"), ("ayat", "okunus")))
     return {
         "p3_found": f"WITH {_entries_sql()} SELECT DISTINCT id, g.alan, CAST(coalesce(terim_id, 0) AS INT) AS terim_id FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE NOT EXISTS (SELECT 1 FROM derece_terimleri t WHERE t.alan = g.alan AND t.terim = g.deger)",
         "p3_unmatched": f"WITH {_entries_sql()} SELECT g.alan, g.deger, count(*) AS n FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE b.terim_id IS NULL GROUP BY ALL",
-        "p5_found": f"SELECT id, alan FROM ({forms})",
-        "p5_forms": forms,
+        "p5_found": _forms_sql("SELECT id, alan FROM butun WHERE bicim <> metin OR bozuk"),
+        "p5_forms": _forms_sql("SELECT id, alan, bicim FROM butun WHERE bicim <> metin OR bozuk"),
     }

@@ -65,3 +65,25 @@ def test_rare_characters_are_seen(spark):
     assert [got[i].bicim for i in range(len(rare))] == list(rare.values())
     assert [r.degisti for _, r in sorted(got.items())] == [True] * len(rare) + [True] * len(foreign) + [False] * len(plain)
     assert {i: r.metin for i, r in got.items()} == dict(enumerate([*rare, *foreign, *plain]))
+
+
+def test_all_of_unicode():
+    """Every character alone, after a Latin letter and after an Arabic one, decomposed and not: the form is NFC and stays as it is."""
+    import duckdb
+    import pyarrow as pa
+
+    def forms_of(texts):
+        con = duckdb.connect()
+        con.register("t", pa.table({"k": range(len(texts)), "metin": texts}))
+        return [r[0] for r in con.sql(f"SELECT bicim FROM ({N.whole_sql('t', 'k')}) ORDER BY k").fetchall()]
+
+    every = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    first = forms_of([*every, *("a" + c for c in every), *("ب" + c for c in every), *(unicodedata.normalize("NFD", "x" + c) for c in every)])
+    assert all(unicodedata.is_normalized("NFC", f) for f in first)
+    assert forms_of(first) == first
+
+
+def test_script_by_majority(spark):
+    want = {"максимaльный": "максимальный", "οna": "ona", "φιλοσoφία": "φιλοσοφία", "vоlո": "voln", "Ꭺli": "Ali", "Ⅳ": "IV", "ве": "ве"}
+    got = forms(spark, *want)
+    assert [got[i].bicim for i in range(len(want))] == list(want.values())
