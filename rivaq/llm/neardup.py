@@ -3,9 +3,14 @@
 A text becomes the set of its words in the consistent form (case, punctuation and vowel signs away; the n-th copy of a
 word is a member of its own). Texts with equal sets form a class and are compared once. A class's fingerprint holds its
 SKETCH smallest word hashes among words that are rare in the collection, in order. Two fingerprints that differ in few
-places still share a block of two members that follow each other, or follow with one between: each strange member spoils
-at most two blocks of either kind. Classes that share a block are candidates; the number of words that differ (the
-Hamming distance of the two sets) decides exactly.
+places still share a block of two members at most REACH places apart: a strange member spoils only the blocks it is in or
+that it pushes apart. Classes that share a block and whose sizes allow the share are candidates; the number of words that
+differ (the Hamming distance of the two sets) decides exactly. A block of more than SPLIT classes is cut into parts, and
+each pair of parts is a task of its own, so no block is one task and none loses a pair.
+
+Groups are the connected components of documents: a document is linked to the first of its class, the first of a class
+to that of a linked class. They are found by alternating stars, in rounds whose number grows with the logarithm of the
+largest group; links are written to the shared folder in each.
 
 Rare are words seen less than LEAST times, or making up less than FREQUENT of all words; of the others there are at most
 1/FREQUENT. A class
@@ -27,9 +32,11 @@ from pyspark.sql import functions as F
 from rivaq.llm import normalize as N
 from rivaq.session import saved, shipped
 
-SHARE, SKETCH, FILL, FREQUENT = 0.7, 12, 6, 2e-5
+SHARE, SKETCH, FILL, REACH, FREQUENT = 0.7, 12, 8, 4, 2e-5
 #: A word seen less often than this is rare in any collection.
 LEAST = 50
+#: Classes of a block compared in one task; salts of joins on a document that may be linked to a third of all.
+SPLIT, SALTS = 2048, 16
 #: Rows of class numbers that may be broadcast (8 bytes each); beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -121,7 +128,7 @@ def _counted(a: int, x: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
 
 
 def block_keys(row: np.ndarray, w: np.ndarray, often: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and blocks of word sets given as row numbers and sorted hashes: pairs of fingerprint members one or two places apart, as 64-bit numbers."""
+    """Rows and blocks of word sets given as row numbers and sorted hashes: pairs of fingerprint members up to REACH places apart, as 64-bit numbers."""
     at = np.searchsorted(often, w)
     at[at == len(often)] = 0
     known = often[at] == w if len(often) else np.zeros(len(w), bool)
@@ -139,10 +146,13 @@ def block_keys(row: np.ndarray, w: np.ndarray, often: np.ndarray, rank: np.ndarr
         order = np.lexsort((f, r))
         r, f = r[order], f[order]
     f = f.astype(np.uint64)
-    one, two = r[1:] == r[:-1], r[2:] == r[:-2]
     alone = np.bincount(r)[r] == 1 if len(r) else np.zeros(0, bool)
-    keys = np.r_[((f[:-1] << np.uint64(32)) | f[1:])[one], ((f[:-2] << np.uint64(32)) | f[2:])[two], f[alone]]
-    return np.r_[r[:-1][one], r[:-2][two], r[alone]], keys
+    rows, keys = [r[alone]], [f[alone]]
+    for far in range(1, REACH + 1):
+        same = r[far:] == r[:-far]
+        rows.append(r[:-far][same])
+        keys.append(((f[:-far] << np.uint64(32)) | f[far:])[same])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _nth(row: np.ndarray) -> np.ndarray:
@@ -152,7 +162,7 @@ def _nth(row: np.ndarray) -> np.ndarray:
 
 
 def blocks(sets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """alan, b (block), h: once for each class within a batch."""
+    """alan, b (block), h, n (words): once for each class within a batch."""
     rows = frequent.collect()  # at most 1/FREQUENT for each column
     often = {}
     for a in {r.alan for r in rows}:
@@ -170,9 +180,9 @@ def blocks(sets: DataFrame, frequent: DataFrame) -> DataFrame:
                 mine = mine[np.unique(h[mine], return_index=True)[1]]
                 row = np.repeat(np.arange(len(mine)), [len(blobs[i]) // 4 for i in mine])
                 r, keys = block_keys(row, np.frombuffer(b"".join(blobs[i] for i in mine), np.uint32), *held.value.get(int(a), none))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), a, np.int8)), pa.array(keys.view(np.int64)), pa.array(h[mine][r])], names=["alan", "b", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), a, np.int8)), pa.array(keys.view(np.int64)), pa.array(h[mine][r]), batch.column("n").take(pa.array(mine[r]))], names=["alan", "b", "h", "n"])
 
-    return sets.select("alan", "h", "w").mapInArrow(run, "alan byte, b long, h long")
+    return sets.select("alan", "h", "n", "w").mapInArrow(run, "alan byte, b long, h long, n int")
 
 
 def links(sets: DataFrame, share: float = SHARE) -> DataFrame:
@@ -182,9 +192,7 @@ def links(sets: DataFrame, share: float = SHARE) -> DataFrame:
     shared = every.groupBy("alan", "b").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
     shared = saved(shared.select("alan", "b"), "blocks")
     member = saved(_members(every, shared), "members")
-    other = member.select("alan", "b", F.col("h").alias("h2"))
-    pairs = member.join(other, ["alan", "b"]).where("h < h2").groupBy("alan", F.col("h").alias("h1"), "h2").agg(F.count("*").alias("ortak"))
-    pairs = saved(pairs.select("alan", "h1", "h2"), "pairs")
+    pairs = saved(_candidates(member, share).select("alan", "h1", "h2").distinct(), "pairs")
     needed = pairs.select("alan", F.col("h1").alias("h")).union(pairs.select("alan", F.col("h2").alias("h"))).distinct()
     needed = saved(needed, "needed")
     small = needed.count() <= BROADCAST_ROWS
@@ -208,19 +216,77 @@ def _members(every: DataFrame, shared: DataFrame) -> DataFrame:
     return every.join(F.broadcast(shared.select("alan", "b")) if small else shared.select("alan", "b"), ["alan", "b"], "left_semi").distinct()
 
 
-def pairs(df: DataFrame, key: str, columns: list[str], share: float = SHARE) -> DataFrame:
-    """key_a < key_b: records of which at least one column's texts share at least `share` of the words of the longer."""
+def _candidates(member: DataFrame, share: float) -> DataFrame:
+    """alan, h1 < h2: classes of one block whose sizes allow the share."""
+    big = member.groupBy("alan", "b").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    big = saved(big, "big")
+    rows = member.withColumn("parts", F.lit(1))
+    if not big.isEmpty():
+        rows = member.join(F.broadcast(big) if big.count() <= BROADCAST_ROWS else big, ["alan", "b"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = rows.select("alan", "b", own.alias("i"), F.col("h").alias("h1"), F.col("n").alias("n1"), every.alias("j"))
+    two = rows.select("alan", "b", own.alias("j"), F.col("h").alias("h2"), F.col("n").alias("n2"), every.alias("i"))
+    return one.join(two, ["alan", "b", "i", "j"]).where("h1 < h2").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * share)
+
+
+def _classes(df: DataFrame, key: str, columns: list[str], share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ids (k, alan, h) of texts that have a copy or a link, links (alan, h1, h2) between classes, and copied (alan, h), the classes of several ids."""
     sets = saved(word_sets(df, key, columns), "sets")
     found = saved(links(sets, share), "links")
     ids = sets.select("k", "alan", "h").distinct()
     copied = ids.groupBy("alan", "h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("alan", "h")
     touched = found.select("alan", F.col("h1").alias("h")).union(found.select("alan", F.col("h2").alias("h"))).union(copied).distinct()
-    ids = saved(ids.join(touched, ["alan", "h"], "left_semi"), "ids")
+    return saved(ids.join(touched, ["alan", "h"], "left_semi"), "ids"), found, copied
+
+
+def pairs(df: DataFrame, key: str, columns: list[str], share: float = SHARE) -> DataFrame:
+    """key_a < key_b: records of which at least one column's texts share at least `share` of the words of the longer."""
+    ids, found, copied = _classes(df, key, columns, share)
     both = found.union(copied.select("alan", F.col("h").alias("h1"), F.col("h").alias("h2")))
     x = both.join(ids.select("alan", F.col("h").alias("h1"), F.col("k").alias("x")), ["alan", "h1"]).join(ids.select("alan", F.col("h").alias("h2"), F.col("k").alias("y")), ["alan", "h2"]).where("x <> y")
     return x.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
 
 
+def groups(df: DataFrame, key: str, columns: list[str], share: float = SHARE) -> DataFrame:
+    """key, grup, benzer: each record once, with the smallest key of its group (its own if it has no near-duplicate) and whether it has one. Copies are not expanded into pairs."""
+    ids, found, _ = _classes(df, key, columns, share)
+    first = saved(ids.groupBy("alan", "h").agg(F.min("k").alias("ilk")), "first")
+    copies = _salted(ids, first, ["alan", "h"], "k").where("k <> ilk").select(F.col("k").alias("u"), F.col("ilk").alias("v"))
+    linked = found.join(first.select("alan", F.col("h").alias("h1"), F.col("ilk").alias("u")), ["alan", "h1"]).join(first.select("alan", F.col("h").alias("h2"), F.col("ilk").alias("v")), ["alan", "h2"])
+    group = components(copies.unionByName(linked.select("u", "v")))
+    every = df.select(F.col(key).cast("string").alias("u")).where("u IS NOT NULL").distinct()
+    out = every.join(group, "u", "left")
+    return out.select(F.col("u").alias(key), F.coalesce("grup", "u").alias("grup"), F.col("grup").isNotNull().alias("benzer"))
+
+
+def _salted(rows: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
+    """rows joined with one row for each key, of which one may hold a third of all rows."""
+    copies = small.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_t", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [*on, "_t"]).drop("_t")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """u, grup: each end of an edge (u, v) and the smallest in its component, by large and small stars in turn."""
+    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _salted(both, least, ["u"], "v").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _salted(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        new = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
+            break
+        edges = new
+    return edges.select("u", F.col("v").alias("grup")).union(edges.select("v", "v").distinct())
+
+
 def found(corpus: DataFrame) -> DataFrame:
     """(id_a, id_b): sayings whose tr, or whose ar, share at least 70 % of their words."""
     return pairs(corpus, "id", ["tr", "ar"])
+
+
+def grouped(corpus: DataFrame) -> DataFrame:
+    """(id, grup, benzer) of each saying."""
+    return groups(corpus, "id", ["tr", "ar"])

@@ -52,6 +52,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.found(table(spark, d, "corpus"))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.grouped(table(spark, d, "corpus"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.changed(table(spark, d, "corpus"), "id", ["tr", "ar"]).union(normalize.changed(table(spark, d, "ayat"), "id", ["okunus"]))
 
@@ -87,7 +91,7 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p2_found, p2_pieces, p3_found, p3_unmatched, p4_found, p5_found, p5_forms, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p2_found, p2_pieces, p3_found, p3_unmatched, p4_found, p4_groups, p5_found, p5_forms, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 
 def _duck(s: str) -> str:
@@ -156,10 +160,26 @@ def _forms_sql(what: str) -> str:
     {what}"""
 
 
+def _pairs_sql(what: str) -> str:
+    """what of ciftler (x < y): all pairs of sayings that share a word, counted word by word."""
+    signs = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6DC), (0x6DF, 0x6E8), (0x6EA, 0x6ED), (0x8D3, 0x8FF))) + "]"
+    return _forms_sql(rf"""
+    , kelime AS (SELECT id, alan, unnest(regexp_extract_all(regexp_replace(replace(lower(replace(replace(bicim, 'İ', 'i'), 'I', 'i')), 'ı', 'i'), '{signs}', '', 'g'), '[\p{{L}}\p{{N}}]+')) AS w FROM butun WHERE alan <> 'okunus'),
+    kacinci AS (SELECT id, alan, w, row_number() OVER (PARTITION BY id, alan, w) AS k FROM kelime),
+    boy AS (SELECT id, alan, count(*) AS n FROM kelime GROUP BY ALL),
+    ortak AS (SELECT a.id AS x, b.id AS y, alan, count(*) AS o FROM kacinci a JOIN kacinci b USING (alan, w, k) WHERE a.id < b.id GROUP BY ALL),
+    ciftler AS (SELECT DISTINCT x, y FROM ortak JOIN boy p ON p.id = x AND p.alan = ortak.alan JOIN boy q ON q.id = y AND q.alan = ortak.alan WHERE o >= 0.7 * greatest(p.n, q.n) - 1e-9)
+    {what}""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"WITH {_entries_sql()} SELECT DISTINCT id, g.alan, CAST(coalesce(terim_id, 0) AS INT) AS terim_id FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE NOT EXISTS (SELECT 1 FROM derece_terimleri t WHERE t.alan = g.alan AND t.terim = g.deger)",
         "p3_unmatched": f"WITH {_entries_sql()} SELECT g.alan, g.deger, count(*) AS n FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE b.terim_id IS NULL GROUP BY ALL",
+        "p4_found": _pairs_sql("SELECT x AS id_a, y AS id_b FROM ciftler"),
+        "p4_groups": "WITH RECURSIVE " + _pairs_sql("""
+            , yol AS (SELECT x AS id, y AS uc FROM ciftler UNION SELECT y, x FROM ciftler UNION SELECT yol.id, c.b FROM yol JOIN (SELECT x AS a, y AS b FROM ciftler UNION SELECT y, x FROM ciftler) c ON yol.uc = c.a)
+            SELECT id, coalesce(g, id) AS grup, g IS NOT NULL AS benzer FROM (SELECT DISTINCT id FROM corpus) LEFT JOIN (SELECT id, min(least(id, uc)) AS g FROM yol GROUP BY id) USING (id)""").lstrip().removeprefix("WITH "),
         "p5_found": _forms_sql("SELECT id, alan FROM butun WHERE bicim <> metin OR bozuk"),
         "p5_forms": _forms_sql("SELECT id, alan, bicim FROM butun WHERE bicim <> metin OR bozuk"),
     }
