@@ -23,8 +23,8 @@ from rivaq.llm import tokens as K
 from rivaq.session import saved
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Largest block, in tokens; fewest slots wanted before blocks grow; slots in which ranks are counted together; slots counted at once for the total.
-BLOCK, SLOTS, CHUNK, COUNTED = 256, 1024, 4096, 1 << 18
+#: Usual block, in tokens; slots wanted before blocks reach it, and beyond which they grow; slots in which ranks are counted together; slots counted at once for the total.
+BLOCK, SLOTS, MOST, CHUNK, COUNTED = 256, 1024, 1 << 24, 4096, 1 << 18
 
 
 def _sizes(documents: DataFrame, targets: DataFrame, folder: str, vocabulary: str) -> tuple[DataFrame, list]:
@@ -42,7 +42,7 @@ def _slots(goals: list, total: int | None) -> tuple[int, int, list[tuple[str, fl
     if not have:
         return 1, 0, []
     most = min(g[3] * g[2] * share / g[1] for g in have)
-    block = int(max(1, min(BLOCK, most // SLOTS)))
+    block = int(max(1, min(BLOCK, most // SLOTS), most // MOST))
     n = _reached(have, share, block)
     if total is not None:
         n = total // block
@@ -94,7 +94,7 @@ def _mixed(sizes: DataFrame, goals: list, total: int | None) -> DataFrame:
     last = F.element_at(F.create_map(*[x for s, v in turns.items() for x in (F.lit(s), F.lit(v))]), F.col("source"))
     size = F.element_at(F.create_map(*[x for s, _, t, _ in have for x in (F.lit(s), F.lit(t).cast("long"))]), F.col("source"))
     texts = sizes.where(F.col("source").isin(*turns)).withColumn("tekrar", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    texts = K.running(texts, ["source", "tekrar"], F.xxhash64("doc_id", "tekrar"), "doc_id", F.col("n"), "once").withColumn("once", F.col("once") + F.col("tekrar") * size)
+    texts = K.running(texts, ["source", "tekrar"], F.xxhash64("doc_id", "tekrar"), "doc_id", F.col("n"), "once", K.bits_for(sizes.count())).withColumn("once", F.col("once") + F.col("tekrar") * size)
     parts = texts.withColumn("blok", F.explode(F.sequence((F.col("once") / block).cast("long"), ((F.col("once") + F.col("n") - 1) / block).cast("long"))))
     a, b = F.greatest("once", F.col("blok") * block), F.least(F.col("once") + F.col("n"), (F.col("blok") + 1) * block)
     parts = parts.select("source", "blok", "tekrar", "doc_id", (a - F.col("once")).alias("bas"), (b - a).alias("adet"))

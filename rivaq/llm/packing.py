@@ -117,6 +117,7 @@ def packed(documents: DataFrame, containers: DataFrame, folder: str = K.FOLDER,
     spark = shipped(documents.sparkSession)
     kinds = sorted({(r.container, int(r.capacity_tokens)) for r in containers.select("container", "capacity_tokens").where("container IS NOT NULL AND capacity_tokens > 0").distinct().collect()})
     sizes = saved(K.sized(documents, ["doc_id"], folder, vocabulary), "sizes")
+    bits = K.bits_for(sizes.count())
     each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).cast("long").alias("kapasite")) for c, k in kinds]) if kinds else F.expr("array_repeat(named_struct('container', '', 'kapasite', 1L), 0)")
     items = sizes.select("doc_id", "n", F.explode(each).alias("k")).select("doc_id", "n", "k.*")
     items = items.withColumn("boy", F.col("n") % F.col("kapasite")).withColumn("dolu", F.col("n").cast("long") - F.col("boy"))
@@ -126,7 +127,7 @@ def packed(documents: DataFrame, containers: DataFrame, folder: str = K.FOLDER,
         counts[r.container][r.boy] = r.m
     plans = {c: plan(counts[c], k) for c, k in kinds}
     held = spark.sparkContext.broadcast({c: (places(p), sum(m for m, _ in p)) for c, p in plans.items()})
-    ranked = K.running(rests.select("container", "boy", "doc_id", "dolu"), ["container", "boy"], F.xxhash64("doc_id"), "doc_id", F.lit(1), "sira")
+    ranked = K.running(rests.select("container", "boy", "doc_id", "dolu"), ["container", "boy"], F.xxhash64("doc_id"), "doc_id", F.lit(1), "sira", bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,7 +141,7 @@ def packed(documents: DataFrame, containers: DataFrame, folder: str = K.FOLDER,
 
     small = ranked.select("container", "boy", "doc_id", "dolu", "sira").mapInPandas(run, "container string, kutu long, doc_id long, bas long, adet long")
     over = items.where("dolu > 0").select("container", "doc_id", "kapasite", (F.col("dolu") / F.col("kapasite")).cast("long").alias("tam"))
-    over = K.running(over, ["container"], F.xxhash64("doc_id"), "doc_id", F.col("tam"), "once")
+    over = K.running(over, ["container"], F.xxhash64("doc_id"), "doc_id", F.col("tam"), "once", bits)
     start = F.element_at(F.create_map(*[x for c, p in plans.items() for x in (F.lit(c), F.lit(sum(m for m, _ in p)).cast("long"))]), F.col("container")) if plans else F.lit(0).cast("long")
     full = over.select("container", "doc_id", "kapasite", (start + F.col("once")).alias("ilk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tam") - 1)).alias("i"))
     return small.unionByName(full.select("container", (F.col("ilk") + F.col("i")).alias("kutu"), "doc_id", (F.col("i") * F.col("kapasite")).alias("bas"), F.col("kapasite").alias("adet")))

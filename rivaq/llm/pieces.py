@@ -1,7 +1,7 @@
 """Oversized texts cut into pieces at natural boundaries: structure-tree packing.
 
-A text is parsed into a tree of sections (a heading and what follows it), blocks (paragraphs and lists), lines and
-sentences. Sibling subtrees are merged bottom-up while they fit, only oversized nodes are opened, and a sentence that is
+A text is parsed into a tree of sections (a heading and what follows it, down to the next of its level), elements of
+markup, blocks (paragraphs and lists), list items with the items below them, lines and sentences. Sibling subtrees are merged bottom-up while they fit, only oversized nodes are opened, and a sentence that is
 itself oversized is cut after clauses, else at blanks, else between characters. Each piece but the first begins with up
 to `overlap` characters of the one before, from a word's start. No piece is longer than `limit`.
 
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,13 +25,19 @@ from rivaq.llm import normalize as N
 from rivaq.session import shipped
 
 LIMIT, OVERLAP = 800, 80
+#: Characters looked at before a full stop: more than any abbreviation or line number has. Levels of the tree; what is deeper counts as siblings.
+LOOK, LEVELS = 24, 64
 
 # Abbreviations that a capital or a number follows within a sentence.
 BEFORE_NAMES = frozenset("dr prof doç av sn hz bay mr mrs ms st sr fr hr mme mlle m op alb gen kpt ing dipl no nr num vol vols p pp c s sf ss cf bkz bk krş bd hd fig şek md art par böl ch sec ed eds haz çev nu a.g.e der".split())
 # Abbreviations that may also end a sentence.
 BEFORE_ANY = frozenset("etc vb vs vd usw bzw ca jr inc ltd a.ş a.s m.ö m.s mö ms i.e e.g z.b d.h p.m a.m yy".split())
 ENDS, CLOSERS, OPENERS = ".?!…。؟۔．！？", "»”\"'’)]}›“」）］", "«“\"'‘‹([{„-–—•*「（［»¿¡"
-_END = re.compile(rf"[{re.escape(ENDS)}]+[{re.escape(CLOSERS)}]*")
+_END = re.compile(rf"([{re.escape(ENDS)}]+)(?:[{re.escape(CLOSERS)}]|</[A-Za-z][^<>]*>)*")
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>")
+_ITEM = re.compile(r"(?:[-–—•*+]|\d{1,4}[.)]|[a-zçğıöşü][.)])\s+")
+# Elements of markup that hold blocks or are blocks.
+ELEMENTS = frozenset("article aside blockquote body dd div dl dt figure footer h1 h2 h3 h4 h5 h6 header html li main ol p pre section table tbody td th thead tr ul".split())
 _LINE = re.compile(r"[^\n\r\v\f\x85\u2028\u2029]+")
 _LIKE = {ord(c): k for c, k in zip(N.CYRILLIC + N.GREEK, N.CYRILLIC_AS + N.GREEK_AS, strict=True)}
 
@@ -37,7 +45,7 @@ _LIKE = {ord(c): k for c, k in zip(N.CYRILLIC + N.GREEK, N.CYRILLIC_AS + N.GREEK
 def _token(text: str, at: int, start: int) -> str:
     """The word before at, as it is meant: no brackets, look-alikes or invisible characters."""
     i = at
-    while i > start and not text[i - 1].isspace() and at - i < 24:
+    while i > start and not text[i - 1].isspace() and at - i < LOOK:
         i -= 1
     w = text[i:at]
     if not w.isascii():
@@ -53,13 +61,16 @@ def _breaks(text: str, m: re.Match, start: int, end: int) -> bool:
     if i >= end:
         return False
     blank, j = i > m.end(), i
-    while j < end and (text[j] in OPENERS or text[j].isspace()):
-        j += 1
+    while j < end and (text[j] in OPENERS or text[j].isspace() or text[j] == "<"):
+        tag = _TAG.match(text, j, end) if text[j] == "<" else None
+        if text[j] == "<" and not tag:
+            break
+        j = tag.end() if tag else j + 1
     if j >= end or not (text[j].isalnum() or unicodedata.category(text[j])[0] == "S"):
         return False
     if text[j].islower() and j == i:
         return False
-    stop = m.group().rstrip(CLOSERS)
+    stop = m.group(1)
     w = _token(text, m.start(), start)
     if not blank and j == i and (text[j].isdigit() or len(w) < 2 or not w[-1].isalpha() and w[-1] not in CLOSERS or w[-1].isupper()):
         return False
@@ -70,7 +81,7 @@ def _breaks(text: str, m: re.Match, start: int, end: int) -> bool:
             return False
         if w.lower() in BEFORE_NAMES or w.lower() in BEFORE_ANY and not text[j].isupper():
             return False
-        if w.isdigit() and m.start() - start <= 24 and text[start : m.start()].strip(" \t" + OPENERS) == w:
+        if w.isdigit() and m.start() - start <= LOOK and text[start : m.start()].strip(" \t" + OPENERS) == w:
             return False
     return True
 
@@ -105,24 +116,67 @@ def oversized(text: str | None, limit: int = LIMIT) -> bool:
     return text is not None and len(text) > limit and len(text.strip()) > limit
 
 
-def _heading(line: str, more: bool) -> bool:
-    """A short line without end of a sentence, before another line; or one marked as heading."""
-    return more and (line.startswith("#") or len(line) <= 60 and line[0] not in "-–—•*" and line[-1] not in ENDS + CLOSERS + ",;:")
+def _level(line: str, more: bool) -> int:
+    """Of a heading its level, 1 the highest; 0 for other lines. A short line without end of a sentence, before another line, is one of the lowest level."""
+    marked = re.match(r"(#{1,6})\s|<[hH]([1-6])\b", line)
+    if marked:
+        return len(marked[1]) if marked[1] else int(marked[2])
+    return 7 if more and (line[0] == "#" or len(line) <= 60 and line[0] not in "-–—•*<" and line[-1] not in ENDS + CLOSERS + ",;:>") else 0
 
 
-def tree(text: str) -> list:
-    """Sections of blocks of lines of sentences; the leaves are (start, end)."""
+def leaves(text: str) -> Iterator[tuple[tuple[int, ...], tuple[int, int]]]:
+    """Each sentence with its path in the tree: a number for each section, element, block, item and line it is in."""
     lines = list(line_spans(text))
-    sections: list = [[]]
-    for n, (a, b) in enumerate(lines):
-        gap = n == 0 or text.count("\n", lines[n - 1][1], a) > 1
-        if _heading(text[a:b], n + 1 < len(lines)) and sections[-1]:
-            sections.append([])
-            gap = True
-        if gap or not sections[-1]:
-            sections[-1].append([])
-        sections[-1][-1].append(list(sentence_spans(text, a, b)))
-    return sections
+    sections: list[tuple[int, int]] = []
+    elements: list[tuple[str, int]] = []
+    items: list[tuple[int, int]] = []
+    block, end = 0, 0
+    for n, (a, b) in enumerate(lines, 1):
+        gap = n == 1 or text.count("\n", end, a) > 1
+        level, begin = _level(text[a:b], n < len(lines)), text.rfind("\n", 0, a) + 1
+        if level:
+            while sections and sections[-1][0] >= level:
+                sections.pop()
+            sections.append((level, n))
+        if gap or level:
+            block = n
+        indent = a - begin
+        if level or gap and not (items and indent > items[-1][0]):
+            items.clear()
+        if _ITEM.match(text, a, b):
+            while items and items[-1][0] >= indent:
+                items.pop()
+            items.append((indent, n))
+        at = end = a
+        for x, y in sentence_spans(text, a, b):
+            inner = None
+            for tag in _TAG.finditer(text, at, y):
+                if tag.start() > x and inner is None and text[x : tag.start()].strip() and not _TAG.match(text, x):
+                    inner = tuple(k for _, k in elements)
+                name = tag[2].lower()
+                if name in ELEMENTS and not tag[1]:
+                    elements.append((name, tag.start() + len(text)))  # numbers of elements and lines differ
+                elif tag[1] and any(e == name for e, _ in elements):
+                    if inner is None:
+                        inner = tuple(k for _, k in elements)
+                    while elements.pop()[0] != name:
+                        pass
+            path = (*(k for _, k in sections), *(tuple(k for _, k in elements) if inner is None else inner), -block, *(k for _, k in items), n)
+            yield path[:LEVELS], (x, y)
+            at = y
+        end = b
+
+
+def _nested(rows: list, depth: int = 0) -> list:
+    out: list = []
+    for key, own in groupby(rows, lambda r: r[0][depth] if depth < len(r[0]) else None):
+        out.extend([leaf for _, leaf in own] if key is None else [_nested(list(own), depth + 1)])
+    return out
+
+
+def tree(text: str) -> list:
+    """Nested lists; the leaves are the sentences' (start, end)."""
+    return _nested(list(leaves(text)))
 
 
 def _span(node) -> tuple[int, int]:
@@ -197,9 +251,9 @@ def cut(df: DataFrame, key: str, columns: list[str], limit: int = LIMIT, overlap
                 if oversized(text, limit):
                     starts, done = [a for a, _ in sentences(text)], 0
                     for n, (a, b) in enumerate(pieces(text, limit, overlap)):
-                        own = [s for s in starts if done <= s < b]
-                        done = b
-                        out.append((k, c, n, a, b, text[a:b], own))
+                        to = bisect_left(starts, b, done)
+                        out.append((k, c, n, a, b, text[a:b], starts[done:to]))
+                        done = to
             yield pd.DataFrame(out, columns=["anahtar", "alan", "sira", "bas", "son", "parca", "cumleler"])
 
     shipped(df.sparkSession)
@@ -207,6 +261,15 @@ def cut(df: DataFrame, key: str, columns: list[str], limit: int = LIMIT, overlap
     return out.withColumnRenamed("anahtar", key)
 
 
+def coverage(df: DataFrame, key: str, columns: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """key, alan, bas, son (what the pieces of a value span), sigar (whether none is longer than limit), bitisik (whether only blanks lie between neighbours, and no more than overlap is shared)."""
+    rows = cut(df, key, columns, limit, overlap).groupBy(key, "alan").agg(F.min("bas").alias("bas"), F.max("son").alias("son"), F.max(F.length("parca")).alias("uzun"), F.array_sort(F.collect_list(F.struct("sira", "bas", "son"))).alias("p"))
+    step = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda x, y: (y["sira"] == x["sira"] + 1) & (y["bas"] > x["bas"]) & (x["son"] - y["bas"] <= overlap) & (y["son"] > x["son"]))
+    text = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(c).alias("alan"), F.col(c).alias("metin")) for c in columns])).alias("v")).select(F.col(key).cast("string").alias(key), "v.alan", "v.metin").where(F.length("metin") > limit).dropDuplicates([key, "alan"])
+    gaps = F.forall(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda x, y: F.substring("metin", x["son"] + 1, F.greatest(F.lit(0), y["bas"] - x["son"])).rlike(r"^[\s\p{Z}\x85]*$")), lambda b: b)
+    return rows.join(text, [key, "alan"]).select(key, "alan", "bas", "son", (F.col("uzun") <= limit).alias("sigar"), (F.forall(step, lambda b: b) & gaps).alias("bitisik"))
+
+
 def found(corpus: DataFrame) -> DataFrame:
     """(id, alan, konum): where each sentence of each oversized value of tr and en starts."""
     return cut(corpus, "id", ["tr", "en"]).select("id", "alan", F.explode("cumleler").alias("konum"))

@@ -28,6 +28,11 @@ def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "corpus"), table(spark, d, "derece_terimleri"))
 
 
+def p1_votes(spark: SparkSession, d: str) -> DataFrame:
+    """What of p1_consensus follows from the opinions alone: their number and agreement."""
+    return p1_consensus(spark, d).select("id", "n", "uyum")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.found(table(spark, d, "corpus"))
 
@@ -36,6 +41,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.cut(table(spark, d, "corpus"), "id", ["tr", "en"]).drop("cumleler")
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of each oversized value cover it within the limits."""
+    return pieces.coverage(table(spark, d, "corpus"), "id", ["tr", "en"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.found(table(spark, d, "corpus"), table(spark, d, "derece_terimleri"))
 
@@ -73,6 +83,15 @@ def p6_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p6_containers(spark, d), table(spark, d, "containers"))
 
 
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """container, metin (texts it holds), sigar (whether no container holds more than its capacity), bolunmez (whether only texts above the capacity are split)."""
+    rows, kinds = p6_containers(spark, d), table(spark, d, "containers").select("container", "capacity_tokens")
+    fits = rows.groupBy("container", "kutu").agg(F.sum("adet").alias("dolu")).join(kinds, "container").groupBy("container").agg(F.bool_and(F.col("dolu") <= F.col("capacity_tokens")).alias("sigar"))
+    texts = rows.groupBy("container", "doc_id").agg(F.count("*").alias("parca"), F.sum("adet").alias("adet"), F.min("bas").alias("bas"), F.max(F.col("bas") + F.col("adet")).alias("son")).join(kinds, "container")
+    whole = (F.col("parca") == F.ceil(F.col("adet") / F.col("capacity_tokens"))) & (F.col("bas") == 0) & (F.col("son") == F.col("adet"))
+    return texts.groupBy("container").agg(F.count("*").alias("metin"), F.bool_and(whole).alias("bolunmez")).join(fits, "container")
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -81,6 +100,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_reached(spark: SparkSession, d: str) -> DataFrame:
+    """source, hedef, max_repeat, var (whether it has texts), tuttu (whether its share is within a hundredth of the target's among sources with texts), sinirda (whether it is used no more than max_repeat times)."""
+    rows = p7_shares(spark, d)
+    due = F.col("hedef") / rows.where("mevcut > 0").agg(F.sum("hedef")).scalar()
+    return rows.select("source", "hedef", "max_repeat", (F.col("mevcut") > 0).alias("var"), F.when(F.col("mevcut") > 0, F.abs(F.col("ulasilan") - due) < 0.01).otherwise(F.col("belirtec") == 0).alias("tuttu"), (F.coalesce("kullanim", F.lit(0.0)) <= F.col("max_repeat")).alias("sinirda"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.found(table(spark, d, "documents"))
 
@@ -91,20 +117,27 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p2_found, p2_pieces, p3_found, p3_unmatched, p4_found, p4_groups, p5_found, p5_forms, p6_containers, p6_usage, p7_mixture, p7_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_consensus, p1_graders, p1_agreement, p1_votes, p2_found, p2_pieces, p2_coverage, p3_found, p3_unmatched, p4_found, p4_groups, p5_found, p5_forms, p6_containers, p6_usage, p6_coverage, p7_mixture, p7_shares, p7_reached, p8_found, p8_languages)}
 
 
 def _duck(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _entries_sql() -> str:
-    """bulunan (alan, deger, terim_id) by comparing each entry with every name."""
+def _folded_sql(c: str) -> str:
     plain, plain_as = terms.plain_letters()
+    x = f"translate(lower(translate({c}, 'İI', 'ii')), {_duck(plain)}, {_duck(plain_as)})"
+    return rf"trim(regexp_replace(regexp_replace({x}, '[\p{{Mn}}\p{{Cf}}ـ]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+ENTRIES = "SELECT id, 'dereceRaw' AS alan, dereceRaw AS deger FROM corpus UNION ALL SELECT id, 'derece', derece FROM corpus"
+
+
+def _entries_sql(entries: str = ENTRIES) -> str:
+    """bulunan (alan, deger, terim_id) by comparing each entry with every name."""
 
     def bare(c: str) -> str:
-        x = f"translate(lower(translate({c}, 'İI', 'ii')), {_duck(plain)}, {_duck(plain_as)})"
-        x = rf"trim(regexp_replace(regexp_replace({x}, '[\p{{Mn}}\p{{Cf}}ـ]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+        x = _folded_sql(c)
         labels = "|".join(terms.LABELS)
         x = rf"regexp_replace({x}, '^[(\[]?\d+\s*[).:\]]\s*', '')"
         x = rf"regexp_replace({x}, '^(?:(?:{labels})\s*[-–:=]?\s+|[^:]{{1,20}}:\s+)', '')"
@@ -115,13 +148,23 @@ def _entries_sql() -> str:
         return rf"translate(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), 'ابتثجحخدذرزسشصضطظعغفقكلمنهويةء', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{{|}}~')"
 
     return rf"""
-    girdi AS (SELECT DISTINCT id, alan, deger FROM (SELECT id, 'dereceRaw' AS alan, dereceRaw AS deger FROM corpus UNION ALL SELECT id, 'derece', derece FROM corpus) WHERE regexp_matches(deger, '[^\s\p{{Z}}\p{{Cf}}]')),
+    girdi AS (SELECT DISTINCT id, alan, deger FROM ({entries}) WHERE regexp_matches(deger, '[^\s\p{{Z}}\p{{Cf}}]')),
     liste AS (SELECT terim_id, alan, {bare("ad")} AS ad FROM (SELECT terim_id, alan, unnest(list_append(coalesce(diger_adlar, []), terim)) AS ad FROM derece_terimleri)),
     deger AS (SELECT DISTINCT alan, deger, {bare("deger")} AS q FROM girdi),
     uzak AS (SELECT d.alan, d.deger, l.terim_id, damerau_levenshtein(d.q, l.ad) AS u FROM deger d JOIN liste l ON d.alan = l.alan AND abs(length(d.q) - length(l.ad)) <= 2 WHERE damerau_levenshtein(d.q, l.ad) <= CASE WHEN length(l.ad) < 5 THEN 0 WHEN length(l.ad) < 8 THEN 1 ELSE 2 END),
     bulunan AS (SELECT alan, deger, arg_min(terim_id, (u, terim_id)) AS terim_id FROM uzak GROUP BY ALL)"""
 
 
+def _votes_sql() -> str:
+    """oy (id, g, k): the first usable opinion of each grader on each saying; say (id, n, v0..v3): opinions of each saying."""
+    given = "SELECT id, 'dereceRaw' AS alan, u.derece AS deger FROM (SELECT id, unnest(alimler) AS u FROM corpus)"
+    votes = ", ".join(f"count(*) FILTER (k = '{c}') AS v{i}" for i, c in enumerate(consensus.CLASSES))
+    return rf"""{_entries_sql(given)},
+    gorus AS (SELECT id, sira, regexp_replace({_folded_sql("u.alim")}, '[\s\p{{Z}}\p{{Pd}}]+', '', 'g') AS g, u.derece AS deger FROM (SELECT id, unnest(alimler) AS u, generate_subscripts(alimler, 1) AS sira FROM corpus)),
+    oy AS (SELECT id, g, arg_min(sinif, sira) AS k FROM gorus JOIN bulunan USING (deger) JOIN derece_terimleri t USING (terim_id) WHERE bulunan.alan = 'dereceRaw' AND t.alan = 'dereceRaw' AND g <> '' AND sinif IN {consensus.CLASSES} GROUP BY ALL),
+    say AS (SELECT id, count(*) AS n, {votes} FROM oy GROUP BY id)"""
+
+
 def _changed_characters() -> str:
     """Characters that the consistent form holds in another way, and that way, from the character database; and the letters written for foreign Arabic ones."""
     rows = dict(normalize.ARABIC)
@@ -173,7 +216,18 @@ def _pairs_sql(what: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    blank = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]"
+    sizes = f"SELECT id, alan, length(regexp_extract(metin, '^{blank}*')) AS bas, length(regexp_replace(metin, '{blank}*$', '')) AS son FROM (SELECT DISTINCT id, 'tr' AS alan, tr AS metin FROM corpus UNION ALL SELECT DISTINCT id, 'en', en FROM corpus)"
+    squares = "v0 * v0 + v1 * v1 + v2 * v2 + v3 * v3"
+    with_text = "(SELECT DISTINCT source FROM documents WHERE text <> '' AND source IS NOT NULL)"
     return {
+        "p1_votes": f"WITH {_votes_sql()} SELECT id, CAST(n AS INT) AS n, CASE WHEN n > 1 THEN ({squares} - n) / (n * (n - 1)) END AS uyum FROM say",
+        "p1_agreement": f"""WITH {_votes_sql()}, cok AS (SELECT * FROM say WHERE n > 1),
+            top AS (SELECT count(*) AS deger, sum(n) AS gorus, sum((n * n - ({squares})) / (n - 1)) AS d, sum(v0) AS v0, sum(v1) AS v1, sum(v2) AS v2, sum(v3) AS v3 FROM cok)
+            SELECT CAST(deger AS BIGINT) AS deger, CAST(gorus AS BIGINT) AS gorus, 1 - d / ((gorus * gorus - ({squares})) / (gorus - 1)) AS alfa FROM top""",
+        "p2_coverage": f"SELECT id, alan, CAST(bas AS INT) AS bas, CAST(son AS INT) AS son, true AS sigar, true AS bitisik FROM ({sizes}) WHERE son - bas > {pieces.LIMIT}",
+        "p6_coverage": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS metin, true AS sigar, true AS bolunmez FROM containers",
+        "p7_reached": f"SELECT source, target_share AS hedef, max_repeat, coalesce(source IN {with_text}, false) AS var, true AS tuttu, true AS sinirda FROM mix_targets",
         "p3_found": f"WITH {_entries_sql()} SELECT DISTINCT id, g.alan, CAST(coalesce(terim_id, 0) AS INT) AS terim_id FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE NOT EXISTS (SELECT 1 FROM derece_terimleri t WHERE t.alan = g.alan AND t.terim = g.deger)",
         "p3_unmatched": f"WITH {_entries_sql()} SELECT g.alan, g.deger, count(*) AS n FROM girdi g LEFT JOIN bulunan b ON g.alan = b.alan AND g.deger = b.deger WHERE b.terim_id IS NULL GROUP BY ALL",
         "p4_found": _pairs_sql("SELECT x AS id_a, y AS id_b FROM ciftler"),

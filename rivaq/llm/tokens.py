@@ -46,6 +46,11 @@ def sized(documents: DataFrame, keep: list[str], folder: str = FOLDER, vocabular
     return rows.mapInPandas(run, schema)
 
 
+def bits_for(rows: int, each: int = 50_000) -> int:
+    """Bits of the ranges into which so many rows of one group are cut, so that a range holds about `each`; at least 16 ranges."""
+    return max(4, (max(rows, 1) // each).bit_length())
+
+
 def running(rows: DataFrame, by: list[str], order: Column, tie: str, value: Column, name: str, bits: int = 8) -> DataFrame:
     """rows with the sum of value over the earlier rows of the same `by`, earlier by order (a 64-bit hash, then tie).
 

@@ -39,6 +39,36 @@ def test_boundaries_are_natural():
     assert all(text[b - 1] in ".üç" or text[b : b + 1] in ("\n", "") for _, b in spans)
 
 
+def test_tree_of_headings_lists_and_markup():
+    text = "# A\nBir. İki.\n\n## B\nÜç.\n- x\n  - y\n  - z\n- w\n\n# C\nSon."
+    at = {text[a:b]: path for path, (a, b) in P.leaves(text)}
+    inside = lambda x, y: at[y][: len(at[x]) - 1] == at[x][:-1]
+    assert at["Üç."][0] == at["Bir."][0] == at["# A"][0] and at["Üç."][1] == at["## B"][1] and at["Son."][0] not in at["# A"]
+    assert inside("- x", "- y") and inside("- x", "- z") and not inside("- x", "- w")
+    assert P.tree(text) == [[[[(0, 3)], [(4, 8), (9, 13)]], [[[(15, 19)], [(20, 23)], [[(24, 27)], [[(30, 33)]], [[(36, 39)]]], [[(40, 43)]]]]], [[[(45, 48)], [(49, 53)]]]]
+    assert parts("<p>Son. Bir daha.</p><p>Yeni.</p>") == ["<p>Son.", "Bir daha.</p>", "<p>Yeni.</p>"]
+    listed = {text[a:b] for text in ["<ul>\n<li>Bir.</li>\n<li>İki. Üç.</li>\n</ul>\nSon."] for _, (a, b) in P.leaves(text)}
+    assert listed == {"<ul>", "<li>Bir.</li>", "<li>İki.", "Üç.</li>", "</ul>", "Son."}
+
+
+def test_opens_only_what_is_too_large():
+    """A subsection that fits stays whole although its section does not."""
+    text = "# A\n" + "Uzun bir cümle burada. " * 6 + "\n## B\n" + "Alt bölüm cümlesi. " * 5 + "\n## C\n" + "Öteki alt bölüm. " * 6
+    spans = [text[a:b] for a, b in P.pieces(text, 170, 0)]
+    assert [s.split("\n")[0] for s in spans] == ["# A", "## B", "## C"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aB. \n-#<p>/*1)")), max_size=200))
+def test_leaves_are_the_sentences(text):
+    assert [leaf for _, leaf in P.leaves(text)] == P.sentences(text)
+
+    def flat(node):
+        return [x for n in node for x in flat(n)] if isinstance(node, list) else [node]
+
+    assert flat(P.tree(text)) == P.sentences(text)
+
+
 def test_cut_values(spark):
     long = "Kelime kelime geldi. " * 60
     rows = [("a", long, None, "x"), ("a", long, None, "x"), ("b", "kısa" + " " * 2000, long.strip() + " " * 9, "x"), ("c", "y" * 5000, "", "x"), ("d", None, "z" * 800, "x")]
