@@ -18,6 +18,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivaq.session import saved
+
 SALTS = 16
 
 # Characters that scanners confuse, and what is compared instead.
@@ -103,7 +105,7 @@ FROM esit e LEFT JOIN bulunan b ON e.alan = b.alan AND e.q = b.q LEFT JOIN eksik
 def mapped(entries: DataFrame, terms: DataFrame) -> DataFrame:
     """entries: alan, deger. A row for each different entry: alan, deger, terim_id (0: none), eslesmeyen (whether it matches none)."""
     spark = entries.sparkSession
-    wanted = entries.select("alan", "deger").where("deger IS NOT NULL AND alan IS NOT NULL").distinct()
+    wanted = saved(entries.select("alan", "deger").where("deger IS NOT NULL AND alan IS NOT NULL").distinct(), "entries")  # read several times
     query = MATCH.replace("{", "{{").replace("}", "}}").replace("%entries%", "{entries}").replace("%terms%", "{terms}")
     return spark.sql(query, entries=wanted, terms=terms.select("terim_id", "alan", "terim", "diger_adlar"))
 
