@@ -45,8 +45,9 @@ _SIGNS = r"\x{610}-\x{61A}\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6DC}\x{6DF}-\x{6E8}\x
 
 def words_sql(col: str) -> str:
     """The words of a text in the consistent form, without case, punctuation and vowel signs, as a DuckDB list."""
-    plain = f"translate(lower(translate({col}, 'İI', 'ii')), 'ı', 'i')"
-    return rf"regexp_extract_all(regexp_replace({plain}, '[{_SIGNS}]', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+    plain = f"replace(lower(replace(replace({col}, 'İ', 'i'), 'I', 'i')), 'ı', 'i')"
+    bare = f"CASE WHEN regexp_matches({col}, '[{_SIGNS}]') THEN regexp_replace({plain}, '[{_SIGNS}]', '', 'g') ELSE {plain} END"
+    return rf"regexp_extract_all({bare}, '[\p{{L}}\p{{N}}]+')"
 
 
 def _hashed(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,8 @@ SHAPES = ((0xFF01, 0xFF5E), (0xFF61, 0xFFDC), (0xFB00, 0xFB1C), (0xFB50, 0xFBB1)
 USUAL = r"\x{9}\x{A}\x{D}\x{20}-\x{7E}«»À-žЀ-ӿ\x{621}-\x{63A}\x{641}-\x{652}\x{660}-\x{669}،؛؟\x{2010}-\x{2027}\x{FD3E}\x{FD3F}"
 FOREIGN = r"\x{620}\x{63B}-\x{63F}\x{66E}\x{66F}\x{671}-\x{6D3}\x{6D5}\x{6EE}\x{6EF}\x{6FA}-\x{6FC}\x{6FF}\x{750}-\x{77F}\x{870}-\x{887}\x{889}-\x{88E}\x{8A0}-\x{8C9}"
 SCRIPTS = [r"[\p{Latin}]", r"[\p{Cyrillic}]", r"[\p{Greek}]", r"[\p{Arabic}]", r"[\p{Hebrew}]", r"[\p{Armenian}]", r"[\p{Georgian}]", r"[\p{Devanagari}]", r"[\p{Syriac}]", r"[\p{Thaana}]", r"[\p{Ethiopic}]", r"[\p{Coptic}]", r"[\p{Cherokee}]", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}]"]
+#: Bytes of a partition given to DuckDB at once.
+GATHERED = 16 << 20
 MARKS = "̧̨̣̀́̂̃̄̆̇̈̊̋̌"
 
 
@@ -91,18 +93,21 @@ def backwards() -> list[tuple[str, str, str, str]]:
 def form_sql(col: str) -> str:
     """The consistent form of a text column, as a DuckDB expression."""
     one, to, several, like, latin = maps()
-    multi = "".join(c for c, _ in several)
-    s = f"translate({col}, {_quoted(one)}, {_quoted(to)})"
-    spelled = s
-    for c, k in several:
-        spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(k)})"
-    s = f"CASE WHEN regexp_matches({col}, '[{multi}]') THEN {spelled} ELSE {s} END"
+    s = _shaped_sql(col, one, to, several)
     s = f"regexp_replace(regexp_replace({s}, '[{INVISIBLE}]', '', 'g'), '[{BLANKS}]', ' ', 'g')"
     s = f"translate({s}, {_quoted(ARABIC_OTHER)}, {_quoted(ARABIC_AS)})"
     s = rf"regexp_replace(nfc_normalize({s}), '[iı]\x{{307}}', 'i', 'g')"
     return s
 
 
+def _shaped_sql(col: str, one: str, to: str, several: list[tuple[str, str]]) -> str:
+    """col with the single forms and those of several letters put in; translate reads its map anew for each text, so only where a character of the map is there."""
+    s = f"translate({col}, {_quoted(one)}, {_quoted(to)})"
+    spelled = f"MAP {{{', '.join(f'{_quoted(c)}: {_quoted(k)}' for c, k in several)}}}"
+    spelled = f"array_to_string(list_transform(regexp_extract_all({s}, '(?s).'), lambda c: coalesce({spelled}[c], c)), '')"
+    return f"CASE WHEN regexp_matches({col}, '[{_ranges(''.join(c for c, _ in several))}]') THEN {spelled} WHEN regexp_matches({col}, '[{_ranges(one)}]') THEN {s} ELSE {col} END"
+
+
 def suspect_sql(col: str) -> str:
     """Whether a text can differ from its form at all: most texts do not, and are left as they are after one scan."""
     one, _, several, _, _ = maps()
@@ -158,10 +163,7 @@ def rest() -> tuple[str, str, list[tuple[str, str]]]:
 def whole_sql(source: str, keep: str, col: str = "metin") -> str:
     """As forms_sql, with asil, the text itself: texts with a character outside USUAL are brought to NFC and to plain shapes before, and searched afterwards for foreign letters and mixed words."""
     one, to, several = rest()
-    shaped = spelled = f"translate(asil, {_quoted(one)}, {_quoted(to)})"
-    for c, k in several:
-        spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(k)})"
-    shaped = f"CASE WHEN regexp_matches(asil, '[{''.join(c for c, _ in several)}]') THEN {spelled} ELSE {shaped} END"
+    shaped = _shaped_sql("asil", one, to, several)
     beside = r"[\x{64B}-\x{652}''’ʼ]+"
     unusual = rf"regexp_matches({col}, '[^{USUAL}]|[A-Za-zÀ-ɏ]{beside}[\x{{620}}-\x{{64A}}]|[\x{{620}}-\x{{64A}}]{beside}[A-Za-zÀ-ɏ]')"
     pairs = [rf"{x}[\p{{M}}''’ʼ]*[{''.join(y[1:-1] for y in SCRIPTS if y != x)}]" for x in SCRIPTS]
@@ -169,6 +171,19 @@ def whole_sql(source: str, keep: str, col: str = "metin") -> str:
     return f"SELECT {keep}, asil, bicim, karisik OR (_u AND regexp_matches(bicim, '[{FOREIGN}]|{'|'.join(pairs)}')) AS karisik FROM ({forms_sql(f'({first})', f'{keep}, asil, _u', col)})"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together up to GATHERED bytes: planning the expressions takes as long as thousands of texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def run_duckdb(sql: str, schema: pa.Schema):
     """A function for mapInArrow that runs sql over each batch, named t."""
 
@@ -176,11 +191,10 @@ def run_duckdb(sql: str, schema: pa.Schema):
         import duckdb
 
         con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB"})
-        for batch in batches:
-            if batch.num_rows:
-                con.register("t", pa.Table.from_batches([batch]))
-                yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
-                con.unregister("t")
+        for table in _gathered(batches):
+            con.register("t", table)
+            yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
+            con.unregister("t")
 
     return run
 
