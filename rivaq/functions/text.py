@@ -35,8 +35,8 @@ def normalize(c: Column) -> Column:
 
 def tokens(c: Column, stop_words: list[str] | tuple[str, ...] = tuple(STOP_WORDS)) -> Column:
     """Words of more than two characters that are no stop words, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in sorted({fold_word(w) for w in stop_words})]) if stop_words else F.array().cast("array<string>")
-    return F.filter(F.split(normalize(c), " "), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    stop = sorted({fold_word(w) for w in stop_words})
+    return F.filter(F.split(normalize(c), " "), lambda t: (F.length(t) > 2) & (~t.isin(*stop) if stop else F.lit(True)))
 
 
 def trim(c: Column) -> Column:

@@ -1,6 +1,8 @@
 """BM25 over an inverted index kept as tables: postings, lengths, term statistics.
 
-Postings and lengths are what a query touches; the statistics cover all documents, empty ones too, whatever the filter.
+The words of each text are cut out once and written, without a shuffle; all searches read that table. A search keeps only
+the words it asks for, before anything is counted or shuffled. The statistics cover all documents, empty ones too,
+whatever the filter.
 """
 
 from __future__ import annotations
@@ -16,39 +18,68 @@ from pyspark.sql import functions as F
 
 from rivaq.functions import text as X
 from rivaq.operators.ranks import top_k
-from rivaq.session import saved, shipped
+from rivaq.session import saved, shipped, spread
 
 K1, B, PENALTY = 1.5, 0.75, 0.92
 #: Documents and queries in a block: one table of scores is at most 4096 x 512.
 ROWS, ASKED = 4096, 512
 
 
+#: Different words of all queries that are broadcast (some 50 bytes each); more are joined by a shuffle.
+WORDS = 1_000_000
+
+
 @dataclass
 class Index:
-    postings: DataFrame  # id, term, f, len
-    terms: DataFrame  # term, n (documents that hold it)
-    stats: DataFrame  # one row: n_docs, total_len, avg_len
+    words: DataFrame  # id, len, t (the words of a text, repeats kept)
+
+    @property
+    def postings(self) -> DataFrame:
+        """id, term, f, len"""
+        return counted(self.words.select("id", "len", F.explode("t").alias("term")))
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, n (documents that hold it)"""
+        return self.words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """one row: n_docs, total_len, avg_len"""
+        sums = self.words.agg(F.count("*").alias("n_docs"), F.sum(F.col("len").cast("long")).alias("total_len"))
+        return sums.withColumn("avg_len", F.try_divide(F.col("total_len").cast("double"), F.col("n_docs")))
+
+
+def counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("id", "term", "len").agg(F.count("*").alias("f")).select("id", "term", "f", "len")
 
 
 def build(df: DataFrame, key: str, column: str, keep: bool = True) -> Index:
-    """The index of a text column; its postings are written to the shared folder unless keep is false."""
-    words = df.select(F.col(key).alias("id"), X.tokens(F.col(column)).alias("t"))
-    lengths = words.select("id", F.size("t").alias("len"))
-    postings = words.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "term", "len").agg(F.count("*").alias("f"))
-    postings = saved(postings, "postings") if keep else postings
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.sum(F.col("len").cast("long")).alias("total_len")).withColumn("avg_len", F.try_divide(F.col("total_len").cast("double"), F.col("n_docs")))
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("n")), stats)
+    """The index of a text column; the words are written to the shared folder unless keep is false."""
+    words = spread(df.select(F.col(key).alias("id"), F.col(column).alias("metin"))).select("id", X.tokens(F.col("metin")).alias("t")).select("id", F.size("t").alias("len"), "t")
+    return Index(saved(words, "words") if keep else words)
 
 
-def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """qid, id, skor: queries (qid, text) against all documents that share a term. A repeated query word counts again."""
-    asked = queries.select("qid", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    total = index.stats.select(F.struct("n_docs", "avg_len")).scalar()
+def _weighed(index: Index, asked: DataFrame) -> DataFrame:
+    """id, term, w: the gain of each posting of the words asked for."""
     wanted = asked.select("term").distinct()
-    idf = index.terms.join(wanted, "term", "left_semi").withColumn("s", total).select("term", F.log(1 + (F.col("s.n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"), F.col("s.avg_len").alias("avg_len"))
-    asked = asked.join(idf, "term")
+    small = wanted.count() <= WORDS
+    hits = index.words.select("id", "len", F.explode("t").alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    hits = saved(counted(hits), "hits")  # read for the documents of each word, and for the gains
+    total = index.stats.select(F.struct("n_docs", "avg_len")).scalar()
+    idf = hits.groupBy("term").agg(F.count("*").alias("n")).withColumn("s", total).select("term", F.log(1 + (F.col("s.n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"), F.col("s.avg_len").alias("avg_len"))
     gain = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return index.postings.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("qf") * F.col("idf") * gain).alias("skor"))
+    return hits.join(F.broadcast(idf) if small else idf, "term").select("id", "term", (F.col("idf") * gain).alias("w"))
+
+
+def scores(index: Index, queries: DataFrame) -> DataFrame:
+    """qid, id, skor: queries (qid, text) against all documents that share a term. A repeated query word counts again."""
+    asked = saved(_asked(queries), "asked")
+    return _weighed(index, asked).join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("qf") * F.col("w")).alias("skor"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -92,12 +123,8 @@ def search(index: Index, docs: DataFrame, queries: DataFrame, k: int, predicate:
     shipped(docs.sparkSession)
     queries = expand(queries) if expand else queries
     facts = docs.select(F.col(key).alias("id"), F.when(F.col(grade) == X.UNKNOWN, PENALTY).otherwise(1.0).alias("carpan") if grade else F.lit(1.0).alias("carpan"), (predicate if predicate is not None else F.lit(True)).alias("uygun")).where("uygun")
-    asked = saved(queries.select("qid", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf")), "asked")
-    total = index.stats.select(F.struct("n_docs", "avg_len")).scalar()
-    wanted = asked.select("term").distinct()
-    idf = index.terms.join(wanted, "term", "left_semi").withColumn("s", total).select("term", F.log(1 + (F.col("s.n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"), F.col("s.avg_len").alias("avg_len"))
-    gain = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hits = index.postings.join(idf, "term").select("id", F.xxhash64("term").alias("t"), (F.col("idf") * gain).alias("w"))
+    asked = saved(_asked(queries), "asked")
+    hits = _weighed(index, asked).select("id", F.xxhash64("term").alias("t"), "w")
     rows = hits.groupBy("id").agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w")).join(facts, "id")
     left = _packed(rows.select(F.col("id").alias("k"), "t", F.transform("w", lambda x: x * F.col("carpan")).alias("w")), ROWS)
     kind = dict(queries.dtypes)["qid"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.operators.ranks import top_k
-from rivaq.session import shipped
+from rivaq.session import shipped, spread
 
 #: Vectors in a block, and queries in a block: one product is at most 4096 x 512.
 ROWS, ASKED = 4096, 512
@@ -33,7 +33,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     """qid, sira, id, skor: the k vectors of largest dot product for each query (qid, v); the query set meets all rows block by block."""
     shipped(vectors.sparkSession)
     rows = vectors.where(predicate) if predicate is not None else vectors
-    left = _blocks(rows, key, column, ROWS)
+    left = _blocks(spread(rows.select(key, column)), key, column, ROWS)
     right = _blocks(queries, "qid", "v", ASKED).select(F.col("ids").alias("qids"), F.col("v").alias("q"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,8 +42,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
                 s = np.round(np.frombuffer(q, np.float64).reshape(len(qids), -1) @ np.frombuffer(v, np.float64).reshape(len(ids), -1).T, 9)
                 n = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-                yield pd.DataFrame({"qid": np.repeat(qids, n), "id": ids[order].ravel(), "skor": np.take_along_axis(s, order, 1).ravel()})
+                least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n]
+                row, at = np.nonzero(s >= least[:, None])  # the best and all that tie with the last of them
+                order = np.lexsort((ids[at], -s[row, at], row))
+                row, at = row[order], at[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+                yield pd.DataFrame({"qid": qids[row[keep]], "id": ids[at[keep]], "skor": s[row[keep], at[keep]]})
 
     part = left.crossJoin(right).select("ids", "v", "qids", "q").mapInPandas(run, "qid long, id long, skor double")
     return top_k(part, ["qid"], [F.desc("skor"), F.asc("id")], k, "sira").select("qid", "sira", "id", F.round("skor", 6).alias("skor"))

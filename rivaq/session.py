@@ -69,6 +69,12 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, such as one of a single small file, spread over all cores for work that costs more than the shuffle of its rows; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _clean() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
