@@ -29,6 +29,11 @@ def _sun(day: Column) -> tuple[Column, Column]:
     return F.asin(F.sin(tilt) * F.sin(lon)), 4 * (F.pmod(q - right + 180.0, F.lit(360.0)) - 180.0)
 
 
+def next_dawn(lat: Column, lng: Column, day: Column) -> Column:
+    """Minutes after midnight UTC of the given day of the dawn of the day after."""
+    return prayer_minutes(lat, lng, F.date_add(day, 1))["imsak"] + 1440.0
+
+
 def prayer_minutes(lat: Column, lng: Column, day: Column) -> Column:
     """Struct of minutes after midnight UTC of dawn, sunrise, noon, afternoon, sunset and nightfall; null where the sun does not reach the angle."""
     dec, eot = _sun(day)

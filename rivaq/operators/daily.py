@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivaq.functions import text as X
 from rivaq.operators.ranks import dense_numbers
 
 # Chapter and verse of the verses that take turns.
@@ -23,3 +24,13 @@ def picks(days: DataFrame, verses: DataFrame, corpus: DataFrame) -> DataFrame:
     first = verses.groupBy("sure", "ayet").agg(F.min("id").alias("ayet_id"))
     days = days.join(first, (F.col("_t.s") == first.sure) & (F.col("_t.a") == first.ayet), "left").join(pool.withColumnRenamed("id", "hadis_id"), F.col("_k") == F.col("_n"), "left")
     return days.select("gun", "ayet_id", "hadis_id")
+
+
+def view(days: DataFrame, verses: DataFrame, corpus: DataFrame, lang: str = "tr") -> DataFrame:
+    """gun, ayet (kaynak, ar, okunus, tr) and hadis (kaynak, tr, ar, dereceEtiket) in the language, each null where there is none. verses and corpus hold each id once."""
+    en = lang == "en"
+    picked = picks(days, verses, corpus)
+    text = X.first_of(F.col("en"), F.col("tr")) if en else F.col("tr")
+    ayet = verses.select(F.col("id").alias("ayet_id"), F.struct(F.col("kaynakEn" if en else "kaynak").alias("kaynak"), "ar", "okunus", text.alias("tr")).alias("ayet"))
+    hadis = corpus.select(F.col("id").alias("hadis_id"), F.struct("kaynak", text.alias("tr"), "ar", F.lit("Sahih (Authentic)" if en else "Sahih").alias("dereceEtiket")).alias("hadis"))
+    return picked.join(ayet, "ayet_id", "left").join(hadis, "hadis_id", "left").select("gun", "ayet", "hadis")

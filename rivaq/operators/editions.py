@@ -35,42 +35,51 @@ def chosen(opinions: Column) -> Column:
 
 
 def graded_corpus(books: list[dict], read) -> DataFrame:
-    """All books' sayings with text, Arabic, English, grade and dense ids h0, h1, ... in the order of books and positions.
-
-    books: id, tr, kisaTr and hepSahih of each; read(edition) gives its rows (pos, hadithnumber, text, grades) or None. A
-    book without Turkish text is left out; texts shorter than SHORTEST are, too. Of rows with one number the last counts.
+    """The corpus of a list of books: id, tr, kisaTr and, where so, hepSahih (all is sound) or parantez (the source stands in brackets) of each. read(edition) gives an edition's rows (pos, hadithnumber, text, grades) or None; a book without Turkish text is left out."""
+    parts: dict[str, list[DataFrame]] = {"tur": [], "ara": [], "eng": []}
+    for book in books:
+        for kind, own in parts.items():
+            rows = read(f"{kind}-{book['id']}")
+            if rows is not None:
+                own.append(rows.withColumn("kitap", F.lit(book["id"])))
+    tr, ar, en = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), v) if v else None for v in parts.values())
+    spark = tr.sparkSession
+    shelf = spark.createDataFrame([(n, b["id"], b["tr"], b["kisaTr"], bool(b.get("hepSahih")), bool(b.get("parantez"))) for n, b in enumerate(books)], "sira int, kitap string, kitapTr string, kisaTr string, hepSahih boolean, parantez boolean")
+    return joined_editions(shelf, tr, ar, en)
+
+
+def joined_editions(books: DataFrame, tr: DataFrame, ar: DataFrame | None, en: DataFrame | None) -> DataFrame:
+    """All books' sayings with text, Arabic, English, grade and dense ids h0, h1, ... in the order of books (sira) and positions.
+
+    books: sira, kitap, kitapTr, kisaTr, hepSahih, parantez, a row for each book. Editions: kitap, pos, hadithnumber, text
+    and, in the English one, grades. Texts shorter than SHORTEST are left out. Of rows with one number the last counts.
     """
-    parts = []
-    for n, book in enumerate(books):
-        tr = read(f"tur-{book['id']}")
-        if tr is None:
-            continue
-        rows = tr.select(F.lit(n).alias("_b"), F.col("pos").alias("_pos"), F.col("hadithnumber").alias("no"), X.trim(F.coalesce("text", F.lit(""))).alias("tr")).where(F.length("tr") >= SHORTEST)
-        ar, en = read(f"ara-{book['id']}"), read(f"eng-{book['id']}")
-        if ar is not None:
-            rows = rows.join(last_wins(ar.select(F.col("hadithnumber").alias("no"), F.col("text").alias("ar"), "pos"), ["no"], F.col("pos")).drop("pos"), "no", "left")
-        else:
-            rows = rows.withColumn("ar", F.lit(None).cast("string"))
-        if en is not None:
-            rows = rows.join(last_wins(en.select(F.col("hadithnumber").alias("no"), F.col("text").alias("en"), F.col("grades").alias("_g"), "pos"), ["no"], F.col("pos")).drop("pos"), "no", "left")
-        else:
-            rows = rows.withColumn("en", F.lit(None).cast("string")).withColumn("_g", F.lit(None).cast("array<struct<name:string,grade:string>>"))
-        source = X.bracket_source(F.col("tr"))
-        if book.get("hepSahih"):
-            opinions = F.array(F.struct(F.lit(f"{book['kisaTr']} kaydı").alias("alim"), F.lit("Sahih").alias("derece"), F.lit("sahih").alias("norm")))
-            raw, grade = F.lit("Sahih (kitap kaydı)"), F.lit("sahih")
-        elif book.get("parantez"):
-            sure = F.lower(source).rlike("buhari|müslim|muslim")
-            grade = F.when(sure, F.lit("sahih")).otherwise(F.lit(X.UNKNOWN))
-            raw = F.when(sure, F.concat(F.lit("Sahih ("), source, F.lit(")"))).when(source != "", F.concat(F.lit("Kaynak: "), source)).otherwise(F.lit(""))
-            one = F.array(F.struct(F.concat(F.lit("Kaynak: "), source).alias("alim"), F.when(sure, F.lit("Sahih")).otherwise(F.lit("—")).alias("derece"), grade.alias("norm")))
-            opinions = F.when(source != "", one).otherwise(F.filter(one, lambda _: F.lit(False)))
-        else:
-            opinions = F.coalesce(graders(F.col("_g")), graders(F.expr("array_repeat(named_struct('name', '', 'grade', ''), 0)")))
-            best = chosen(opinions)
-            raw, grade = F.coalesce(best["derece"], F.lit("")), F.coalesce(best["norm"], F.lit(X.UNKNOWN))
-        parts.append(rows.select("_b", "_pos", F.lit(book["id"]).alias("kitap"), F.lit(book["tr"]).alias("kitapTr"), F.lit(book["kisaTr"]).alias("kisaTr"), "no", "tr", X.trim(F.coalesce("en", F.lit(""))).alias("en"), F.coalesce("ar", F.lit("")).alias("ar"), grade.alias("derece"), raw.alias("dereceRaw"), opinions.alias("alimler"), F.concat(F.lit(book["kisaTr"] + " "), X.number_label(F.col("no"))).alias("kaynak")))
-    rows = dense_numbers(reduce(DataFrame.unionByName, parts), [F.col("_b"), F.col("_pos")], "_n")
+    rows = tr.select("kitap", F.col("pos").alias("_pos"), F.col("hadithnumber").alias("no"), X.trim(F.coalesce("text", F.lit(""))).alias("tr")).where(F.length("tr") >= SHORTEST)
+    rows = rows.join(books, "kitap")
+    key = ["kitap", "no"]
+    if ar is not None:
+        rows = rows.join(last_wins(ar.select("kitap", F.col("hadithnumber").alias("no"), F.col("text").alias("ar"), F.col("pos").alias("_o")), key, F.col("_o")).drop("_o"), key, "left")
+    else:
+        rows = rows.withColumn("ar", F.lit(None).cast("string"))
+    if en is not None:
+        rows = rows.join(last_wins(en.select("kitap", F.col("hadithnumber").alias("no"), F.col("text").alias("en"), F.col("grades").alias("_g"), F.col("pos").alias("_o")), key, F.col("_o")).drop("_o"), key, "left")
+    else:
+        rows = rows.withColumn("en", F.lit(None).cast("string")).withColumn("_g", F.lit(None).cast("array<struct<name:string,grade:string>>"))
+    source = X.bracket_source(F.col("tr"))
+    sound = F.lower(source).rlike("buhari|müslim|muslim")
+    own = F.coalesce(graders(F.col("_g")), graders(F.expr("array_repeat(named_struct('name', '', 'grade', ''), 0)")))
+    rows = rows.withColumn("_src", source).withColumn("_own", own).withColumn("_best", chosen(F.col("_own"))).withColumn("_sound", sound)
+    # How a grade that follows from the book, or from the source in brackets, is worded.
+    one = lambda alim, derece, norm: F.array(F.struct(alim.alias("alim"), derece.alias("derece"), norm.alias("norm")))
+    by_book = one(F.concat("kisaTr", F.lit(" ittifakı")), F.lit("Sahih"), F.lit("sahih"))
+    by_source = one(F.concat("_src", F.lit(" — Nevevî derlemesi")), F.lit("Sahih"), F.lit("sahih"))
+    unsure = one(F.concat(F.lit("Kaynak: "), "_src"), F.lit("—"), F.lit(X.UNKNOWN))
+    bracket, none = F.col("parantez") & (F.col("_src") != ""), F.filter("_own", lambda _: F.lit(False))
+    opinions = F.when(F.col("hepSahih"), by_book).when(bracket & F.col("_sound"), by_source).when(bracket, unsure).when(F.col("parantez"), none).otherwise(F.col("_own"))
+    grade = F.when(F.col("hepSahih") | bracket & F.col("_sound"), F.lit("sahih")).when(F.col("parantez"), F.lit(X.UNKNOWN)).otherwise(F.coalesce("_best.norm", F.lit(X.UNKNOWN)))
+    raw = F.when(F.col("hepSahih"), F.lit("Sahih (koleksiyon şartı)")).when(bracket & F.col("_sound"), F.concat(F.lit("Sahih ("), "_src", F.lit(")"))).when(bracket, F.concat(F.lit("Kaynak: "), "_src")).when(F.col("parantez"), F.lit("")).otherwise(F.coalesce("_best.derece", F.lit("")))
+    rows = rows.select("sira", "_pos", "kitap", "kitapTr", "kisaTr", "no", "tr", X.trim(F.coalesce("en", F.lit(""))).alias("en"), F.coalesce("ar", F.lit("")).alias("ar"), grade.alias("derece"), raw.alias("dereceRaw"), opinions.alias("alimler"), F.concat("kisaTr", F.lit(" "), X.number_label(F.col("no"))).alias("kaynak"))
+    rows = dense_numbers(rows, [F.col("sira"), F.col("_pos")], "_n")
     return rows.select(F.concat(F.lit("h"), F.col("_n")).alias("id"), "kitap", "kitapTr", "kisaTr", "no", "tr", "en", "ar", "derece", "dereceRaw", "alimler", "kaynak")
 
 
@@ -82,7 +91,14 @@ def chapters(info: DataFrame, names: list[str]) -> DataFrame:
 
 
 def verse_corpus(tr: DataFrame, en: DataFrame, ar: DataFrame, latin: DataFrame | None, info: DataFrame, names: list[str]) -> DataFrame:
-    """All verses of the first edition with the other editions, page and part, and chapter names; of rows with one place the last counts."""
+    """joined_verses() with pages and chapter names from one file of chapters."""
+    own = info.select(F.posexplode("chapters").alias("i", "c"))
+    pages = own.select(F.col("c.chapter").alias("chapter"), "i", F.posexplode("c.verses").alias("j", "v")).select("chapter", "v.verse", "v.page", "v.juz", F.struct("i", "j").alias("pos"))
+    return joined_verses(tr, en, ar, latin, pages, own.select(F.col("c.chapter").alias("chapter"), F.col("c.name").alias("name"), F.col("i").alias("pos")), names)
+
+
+def joined_verses(tr: DataFrame, en: DataFrame, ar: DataFrame, latin: DataFrame | None, pages: DataFrame, titles: DataFrame, names: list[str]) -> DataFrame:
+    """All verses of the first edition with the other editions (pos, chapter, verse, text), page and part (pages: pos, chapter, verse, page, juz), and chapter names (titles: pos, chapter, name; names: Turkish ones from the first chapter on). Of rows with one place the last counts."""
     place = ["chapter", "verse"]
     rows = tr.select("pos", "chapter", "verse", F.col("text").alias("tr"))
     for name, edition in (("en", en), ("ar", ar), ("okunus", latin)):
@@ -90,9 +106,8 @@ def verse_corpus(tr: DataFrame, en: DataFrame, ar: DataFrame, latin: DataFrame |
             rows = rows.withColumn(name, F.lit(""))
         else:
             rows = rows.join(last_wins(edition.select("chapter", "verse", F.col("text").alias(name), F.col("pos").alias("_o")), place, F.col("_o")).drop("_o"), place, "left").withColumn(name, F.coalesce(name, F.lit("")))
-    own = info.select(F.explode("chapters").alias("c"))
-    pages = own.select(F.col("c.chapter").alias("chapter"), F.explode("c.verses").alias("v")).groupBy("chapter", F.col("v.verse").alias("verse")).agg(F.max("v.page").alias("sayfa"), F.max("v.juz").alias("cuz"))
-    english = own.groupBy(F.col("c.chapter").alias("chapter")).agg(F.max(X.article_case(F.coalesce("c.name", F.lit("")))).alias("adEn"))
+    pages = last_wins(pages.select("chapter", "verse", F.col("page").alias("sayfa"), F.col("juz").alias("cuz"), F.col("pos").alias("_o")), place, F.col("_o")).drop("_o")
+    english = last_wins(titles.select("chapter", X.article_case(F.coalesce("name", F.lit(""))).alias("adEn"), F.col("pos").alias("_o")), ["chapter"], F.col("_o")).drop("_o")
     rows = rows.join(pages, place, "left").join(english, "chapter", "left")
     ad = X.first_of(F.get(F.array(*[F.lit(x) for x in names]).cast("array<string>"), F.col("chapter") - 1), F.concat(F.lit("Sure "), F.col("chapter")))
     ad_en = X.first_of(F.col("adEn"), F.concat(F.lit("Surah "), F.col("chapter")))
@@ -103,7 +118,10 @@ def verse_corpus(tr: DataFrame, en: DataFrame, ar: DataFrame, latin: DataFrame |
 def widened(seeds: DataFrame) -> DataFrame:
     """The seed list in the shape of the corpus, with ids m0, m1, ... in the order of text and reference."""
     rows = dense_numbers(seeds, [F.col("metin"), F.col("referans"), F.col("aciklama")], "_n")
-    return rows.select(F.concat(F.lit("m"), F.col("_n")).alias("id"), F.lit("mevzuat").alias("kitap"), F.col("metin").alias("tr"), F.lit("").alias("ar"), "derece", F.col("referans").alias("kaynak"), "referans", "aciklama", F.lit(True).alias("mevzuat"))
+    # Name of the list, long, short and as a source.
+    long, short = "Halk arasında yaygın söz", "Yaygın söz"
+    none = F.expr("CAST(array() AS array<struct<alim:string,derece:string,norm:string>>)")
+    return rows.select(F.concat(F.lit("m"), F.col("_n")).alias("id"), F.lit("mevzuat").alias("kitap"), F.lit(long).alias("kitapTr"), F.lit(short).alias("kisaTr"), F.col("metin").alias("tr"), F.lit("").alias("ar"), "derece", F.col("referans").alias("dereceRaw"), none.alias("alimler"), F.lit(long).alias("kaynak"), "referans", "aciklama", F.lit(True).alias("mevzuat"))
 
 
 def search_relation(corpus: DataFrame, seeds: DataFrame) -> DataFrame:

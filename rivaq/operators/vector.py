@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivaq.operators.ranks import top_k
+from rivaq.operators.ranks import dense_numbers, top_k
 from rivaq.session import shipped, spread
 
 #: Vectors in a block, and queries in a block: one product is at most 4096 x 512.
@@ -53,6 +53,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return top_k(part, ["qid"], [F.desc("skor"), F.asc("id")], k, "sira").select("qid", "sira", "id", F.round("skor", 6).alias("skor"))
 
 
+def aligned(rows: DataFrame, key: str, vectors: DataFrame, pos: str, column: str, strict: bool = True) -> DataFrame:
+    """rows with the vector (v) at their place in the order of key, counted from 0. A set of vectors of another length belongs to other rows: that is an error, or, if not strict, rows and vectors without a partner drop out."""
+    if strict and (a := rows.count()) != (b := vectors.count()):
+        raise ValueError(f"{a} rows but {b} vectors")
+    return dense_numbers(rows, [F.col(key)], "_n").join(vectors.select(F.col(pos).cast("long").alias("_n"), F.col(column).alias("v")), "_n").drop("_n")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in index order, in doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

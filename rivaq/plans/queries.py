@@ -165,11 +165,11 @@ def edition_left_join_last_wins(spark, d):
     return table(spark, d, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_orderstatus", "l_partkey", "l_linenumber")
 
 
-@query("""WITH a AS (SELECT DISTINCT id, sure, ayet, tr FROM ayat), e AS (SELECT sure, ayet, max(en) AS en, max(sayfa) AS sayfa FROM ayat GROUP BY ALL)
+@query("""WITH a AS (SELECT DISTINCT id, sure, ayet, tr FROM ayat), e AS (SELECT sure, ayet, en, sayfa FROM ayat QUALIFY row_number() OVER (PARTITION BY sure, ayet ORDER BY id DESC) = 1)
 SELECT id, a.sure, a.ayet, coalesce(e.en, '') AS en, e.sayfa, coalesce(nullif(s.ad, ''), 'Sure ' || a.sure) AS ad FROM a LEFT JOIN e ON a.sure = e.sure AND a.ayet = e.ayet LEFT JOIN sure s ON a.sure = s.no""")
 def composite_key_join(spark, d):
     verses = table(spark, d, "ayat")
-    e = verses.groupBy("sure", "ayet").agg(F.max("en").alias("en"), F.max("sayfa").alias("sayfa"))
+    e = ranks.last_wins(verses.select("sure", "ayet", "en", "sayfa", F.col("id").alias("_o")), ["sure", "ayet"], F.col("_o")).drop("_o")
     names = table(spark, d, "sure").select(F.col("no").alias("sure"), F.col("ad").alias("_ad"))
     rows = verses.select("id", "sure", "ayet").distinct().join(e, ["sure", "ayet"], "left").join(names, "sure", "left")
     return rows.select("id", "sure", "ayet", F.coalesce("en", F.lit("")).alias("en"), "sayfa", X.first_of(F.col("_ad"), F.concat(F.lit("Sure "), F.col("sure"))).alias("ad"))
@@ -203,7 +203,7 @@ def grade_histogram(spark, d):
     return editions.histogram(table(spark, d, "corpus").select("id", "derece").distinct(), "derece", grading.CLASSES)
 
 
-_VALUES = ", ".join("(" + ", ".join(_lit(x) for x in g) + ")" for g in grading.GRADES)
+_VALUES = ", ".join("(" + ", ".join(_lit(x) for x in g[:4]) + ")" for g in grading.GRADES)
 
 
 @query(f"""WITH {RELATION}, info(g, renk, tr_, en_) AS (VALUES {_VALUES})
@@ -224,6 +224,78 @@ def grader_priority(spark, d):
     return rows.select("id", "c.alim", "c.derece", F.col("c.norm").alias("sinif")).distinct()
 
 
+# Corpora ----------------------------------------------------------------------------------------------------------
+
+_ALIMLER = "array_to_string(list_transform(alimler, lambda x: x.alim || '|' || x.derece || '|' || x.norm), '; ')"
+_NO = "CASE WHEN no = floor(no) THEN CAST(CAST(no AS BIGINT) AS VARCHAR) ELSE CAST(no AS VARCHAR) END"
+
+
+@query(rf"""WITH {ONE}, shelf AS (SELECT kitap, max(kisaTr) AS kisaTr, row_number() OVER (ORDER BY kitap) - 1 AS sira FROM one WHERE kitap IS NOT NULL GROUP BY kitap),
+last AS (SELECT kitap, no, ar, en, alimler FROM one QUALIFY row_number() OVER (PARTITION BY kitap, no ORDER BY id DESC) = 1),
+base AS (SELECT sira, o.id AS pos, kitap, s.kisaTr, o.no, {t_sql("coalesce(o.tr, '')")} AS tr, {t_sql("coalesce(l.en, '')")} AS en, coalesce(l.ar, '') AS ar,
+    list_transform(list_filter(coalesce(l.alimler, []), lambda x: x IS NOT NULL AND x.derece <> ''), lambda x: {{'alim': {t_sql("coalesce(nullif(x.alim, ''), 'Kaynak')")}, 'derece': {t_sql("x.derece")}, 'norm': {g_sql("x.derece")}}}) AS own
+    FROM one o JOIN shelf s USING (kitap) LEFT JOIN last l USING (kitap, no) WHERE length({t_sql("coalesce(o.tr, '')")}) >= 20),
+b AS (SELECT *, {t_sql(rf"regexp_extract(tr, '\[([^\]]{{2,40}})\][{B}]*$', 1)")} AS src FROM base),
+c AS (SELECT *, regexp_matches(lower(src), 'buhari|müslim|muslim') AS sound, own[list_position(list_transform(own, lambda x: {"CASE " + " ".join(f"WHEN contains(lower(x.alim), '{p}') THEN {i}" for i, p in enumerate(editions.PRIORITY)) + f" ELSE {len(editions.PRIORITY)} END"}), list_min(list_transform(own, lambda x: {"CASE " + " ".join(f"WHEN contains(lower(x.alim), '{p}') THEN {i}" for i, p in enumerate(editions.PRIORITY)) + f" ELSE {len(editions.PRIORITY)} END"})))] AS best FROM b),
+e AS (SELECT *, CASE WHEN sira < 2 THEN [{{'alim': kisaTr || ' ittifakı', 'derece': 'Sahih', 'norm': 'sahih'}}] WHEN sira < 4 AND src <> '' AND sound THEN [{{'alim': src || ' — Nevevî derlemesi', 'derece': 'Sahih', 'norm': 'sahih'}}] WHEN sira < 4 AND src <> '' THEN [{{'alim': 'Kaynak: ' || src, 'derece': '—', 'norm': 'bilinmiyor'}}] WHEN sira < 4 THEN [] ELSE own END AS alimler FROM c)
+SELECT 'h' || (row_number() OVER (ORDER BY sira, pos) - 1) AS id, kitap, no, tr, en, ar, {_ALIMLER} AS alimler, kisaTr || ' ' || {_NO} AS kaynak,
+CASE WHEN sira < 2 OR sira < 4 AND src <> '' AND sound THEN 'sahih' WHEN sira < 4 THEN 'bilinmiyor' ELSE coalesce(best.norm, 'bilinmiyor') END AS derece,
+CASE WHEN sira < 2 THEN 'Sahih (koleksiyon şartı)' WHEN sira < 4 AND src <> '' AND sound THEN 'Sahih (' || src || ')' WHEN sira < 4 AND src <> '' THEN 'Kaynak: ' || src WHEN sira < 4 THEN '' ELSE coalesce(best.derece, '') END AS "dereceRaw" FROM e""")
+def graded_corpus(spark, d):
+    """The corpus built from its own columns as three editions: of the books in order, the first two are sound throughout and the next two name their source in brackets."""
+    one = table(spark, d, "corpus").dropDuplicates(["id"])
+    shelf = ranks.dense_numbers(one.where("kitap IS NOT NULL").groupBy("kitap").agg(F.max("kitapTr").alias("kitapTr"), F.max("kisaTr").alias("kisaTr")), [F.col("kitap")], "sira")
+    shelf = shelf.select("sira", "kitap", "kitapTr", "kisaTr", (F.col("sira") < 2).alias("hepSahih"), F.col("sira").between(2, 3).alias("parantez"))
+    edition = lambda c, *more: one.select("kitap", F.col("id").alias("pos"), F.col("no").alias("hadithnumber"), F.col(c).alias("text"), *more)
+    grades = F.transform("alimler", lambda a: F.when(a.isNotNull(), F.struct(a["alim"].alias("name"), a["derece"].alias("grade")))).alias("grades")
+    rows = editions.joined_editions(shelf, edition("tr"), edition("ar"), edition("en", grades))
+    return rows.select("id", "kitap", "no", "tr", "en", "ar", F.array_join(F.transform("alimler", lambda a: F.concat_ws("|", a["alim"], a["derece"], a["norm"])), "; ").alias("alimler"), "kaynak", "derece", "dereceRaw")
+
+
+NAMES = ("Bir", "İki", "Üç", "Dört", "Beş")
+
+
+@query(f"""WITH one AS (SELECT DISTINCT ON (id) * FROM ayat), half AS (SELECT sure, (ayet + 1) // 2 AS ayet, en FROM one QUALIFY row_number() OVER (PARTITION BY sure, (ayet + 1) // 2 ORDER BY id DESC) = 1),
+title AS (SELECT no, regexp_replace(coalesce(ad, ''), '^al-', 'Al-', 'i') AS ad_en FROM sure),
+x AS (SELECT o.*, h.en AS half_en, coalesce((['{"', '".join(NAMES)}'])[o.sure], 'Sure ' || o.sure) AS ad, coalesce(nullif(ad_en, ''), 'Surah ' || o.sure) AS ad_en FROM one o LEFT JOIN half h ON o.sure = h.sure AND o.ayet = h.ayet LEFT JOIN title t ON t.no = o.sure)
+SELECT 'k' || (row_number() OVER (ORDER BY id) - 1) AS id, sure, ad AS "sureAd", ad_en AS "sureAdEn", ayet, nullif(sayfa, 0) AS sayfa, nullif(cuz, 0) AS cuz, coalesce(ar, '') AS ar, coalesce(okunus, '') AS okunus, tr, coalesce(half_en, '') AS en, ad || ' ' || ayet AS kaynak, ad_en || ' ' || ayet AS "kaynakEn" FROM x""")
+def verse_corpus(spark, d):
+    """The verses built from their own columns as editions; the English one gives two verses one place, of which the last counts."""
+    one = table(spark, d, "ayat").dropDuplicates(["id"])
+    edition = lambda c, verse=F.col("ayet"): one.select(F.col("id").alias("pos"), F.col("sure").alias("chapter"), verse.alias("verse"), F.col(c).alias("text"))
+    pages = one.select(F.col("id").alias("pos"), F.col("sure").alias("chapter"), F.col("ayet").alias("verse"), F.col("sayfa").alias("page"), F.col("cuz").alias("juz"))
+    titles = table(spark, d, "sure").select(F.col("no").alias("pos"), F.col("no").alias("chapter"), F.col("ad").alias("name"))
+    return editions.joined_verses(edition("tr"), edition("en", F.expr("(ayet + 1) div 2").cast("int")), edition("ar"), edition("okunus"), pages, titles, list(NAMES))
+
+
+@query(f"""WITH n AS (SELECT sure, count(DISTINCT id) AS n FROM ayat GROUP BY sure)
+SELECT no, coalesce((['{"', '".join(NAMES)}'])[no], ad) AS ad, coalesce("adAr", '') AS "adAr", CASE WHEN regexp_matches(coalesce(inis, ''), '(?i)mec|mek') THEN 'Mekke' ELSE 'Medine' END AS inis, CAST(coalesce(n, 0) AS INT) AS "ayetSayisi" FROM sure LEFT JOIN n ON n.sure = sure.no""")
+def chapters(spark, d):
+    """The chapter table from chapter metadata and the verses there are."""
+    n = table(spark, d, "ayat").groupBy("sure").agg(F.countDistinct("id").cast("int").alias("n"))
+    given = F.get(F.array(*map(F.lit, NAMES)), F.col("no") - 1)
+    rows = table(spark, d, "sure").join(n, F.col("no") == F.col("sure"), "left")
+    return rows.select("no", X.first_of(given, F.col("ad")).alias("ad"), F.coalesce("adAr", F.lit("")).alias("adAr"), X.revelation_place(F.col("inis")).alias("inis"), F.coalesce("n", F.lit(0)).alias("ayetSayisi"))
+
+
+_MEANINGS = ", ".join("(" + ", ".join(_lit(x) for x in g) + ")" for g in grading.GRADES)
+
+
+def _view_sql(lang: str, text: str) -> str:
+    return f"""SELECT id, '{lang}' AS dil, {text} AS metin, kaynak, coalesce(i.e_{lang}, u.e_{lang}) AS etiket, coalesce(i.renk, u.renk) AS renk, coalesce(nullif(aciklama, ''), i.a_{lang}, u.a_{lang}) AS anlam, "dereceRaw", nullif(referans, '') AS referans, mevzuat, coalesce(len(alimler), -1) AS alim
+    FROM rel LEFT JOIN info i ON i.g = derece JOIN info u ON u.g = '{X.UNKNOWN}'"""
+
+
+@query(f"""WITH {ONE}, {SEEDS}, info(g, renk, e_tr, e_en, a_tr, a_en) AS (VALUES {_MEANINGS}),
+rel AS (SELECT id, tr, en, kaynak, derece, "dereceRaw", alimler, NULL AS referans, NULL AS aciklama, false AS mevzuat FROM one UNION ALL SELECT id, metin, NULL, 'Halk arasında yaygın söz', derece, referans, [], referans, aciklama, true FROM seeds)
+{_view_sql("tr", "tr")} UNION ALL {_view_sql("en", "coalesce(nullif(en, ''), tr)")}""")
+def graded_view(spark, d):
+    """The relation searched, as it is shown in each language."""
+    rel = _relation(spark, d)
+    shown = lambda dil: grading.graded_view(rel, dil).select("id", F.lit(dil).alias("dil"), "metin", "kaynak", F.col("dereceEtiket").alias("etiket"), F.col("dereceRenk").alias("renk"), F.col("dereceAnlam").alias("anlam"), "dereceRaw", "referans", "mevzuat", F.coalesce(F.size("alimler"), F.lit(-1)).alias("alim"))
+    return shown("tr").unionByName(shown("en"))
+
+
 # Search -----------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {RELATION}, {index_sql()}, {search_sql(f'SELECT 0 AS qid, {_lit(QUESTION)} AS text', 8)} SELECT qid, sira, id, skor FROM hits")
@@ -282,6 +354,26 @@ def vector_topk_filtered(spark, d):
     return _vectors(spark, d, F.col("label").isin(0, 1))
 
 
+def _verse_hits_sql(lang: str) -> str:
+    name, source, text = ("sureAdEn", "kaynakEn", "coalesce(nullif(en, ''), tr)") if lang == "en" else ("sureAd", "kaynak", "tr")
+    return f"""SELECT qid, sira, '{lang}' AS dil, a.id, sure, "{name}" AS "sureAd", ayet, sayfa, cuz, "{source}" AS kaynak, ar, okunus, {text} AS tr, round(s, 3) AS skor FROM hits h JOIN a ON a.id = h.id"""
+
+
+@query(f"""WITH a AS (SELECT * , row_number() OVER (ORDER BY id) - 1 AS n FROM (SELECT DISTINCT ON (id) * FROM ayat)),
+s AS (SELECT q.vec_id AS qid, a.id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s, a.n FROM embeddings q, a JOIN embeddings v ON v.vec_id = a.n WHERE q.vec_id % 50 = 0),
+hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, n) AS sira FROM s QUALIFY sira <= 10)
+{_verse_hits_sql("tr")} UNION ALL {_verse_hits_sql("en")}""")
+def verse_hits(spark, d):
+    """Topic search over verses by vectors, which belong to the verses in their order, shown in each language. Every vector whose id is divisible by 50 is a topic."""
+    verses, vectors = table(spark, d, "ayat").dropDuplicates(["id"]), table(spark, d, "embeddings")
+    rows = vector.aligned(verses.select("id"), "id", vectors, "vec_id", "embedding", strict=False)
+    rows = ranks.dense_numbers(rows, [F.col("id")], "_n")
+    hits = vector.search(rows, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 10, key="_n", column="v")
+    full = hits.withColumnRenamed("id", "_n").join(rows.select("_n", "id"), "_n").join(verses, "id")
+    shown = lambda dil: grading.verse_view(full, dil).withColumn("dil", F.lit(dil))
+    return shown("tr").unionByName(shown("en"))
+
+
 # Days, places and callers -------------------------------------------------------------------------------------------
 
 _TURNS = ", ".join(f"({i}, {s}, {a})" for i, (s, a) in enumerate(daily.VERSES))
@@ -296,6 +388,24 @@ def daily_pick(spark, d):
     return daily.picks(days, table(spark, d, "ayat"), table(spark, d, "corpus"))
 
 
+def _daily_sql(lang: str, source: str, text: str, label: str) -> str:
+    return f"""SELECT gun, '{lang}' AS dil, a.{source} AS ayet_kaynak, a.okunus AS ayet_okunus, {text.replace("x.", "a.")} AS ayet_tr, h.kaynak AS hadis_kaynak, {text.replace("x.", "h.")} AS hadis_tr, CASE WHEN h.id IS NOT NULL THEN '{label}' END AS etiket
+    FROM pick LEFT JOIN va a ON a.id = ayet_id LEFT JOIN one h ON h.id = hadis_id"""
+
+
+@query(f"""WITH {ONE}, va AS (SELECT DISTINCT ON (id) * FROM ayat), days AS (SELECT DISTINCT CAST(ts AS DATE) AS gun FROM requests WHERE ts IS NOT NULL), turn(i, s, a) AS (VALUES {_TURNS}),
+pool AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM one WHERE derece = 'sahih' AND length(tr) > 40 AND length(tr) < 340),
+verse AS (SELECT sure, ayet, min(id) AS ayet_id FROM va GROUP BY ALL),
+pick AS (SELECT gun, ayet_id, pool.id AS hadis_id FROM days JOIN turn ON i = dayofyear(gun) % 20 LEFT JOIN verse ON sure = s AND ayet = a LEFT JOIN pool ON n = (dayofyear(gun) * 7) % (SELECT count(*) FROM pool))
+{_daily_sql("tr", "kaynak", "x.tr", "Sahih")} UNION ALL {_daily_sql("en", '"kaynakEn"', "coalesce(nullif(x.en, ''), x.tr)", "Sahih (Authentic)")}""")
+def daily_view(spark, d):
+    """The picks of each day on which calls came, as shown in each language."""
+    days = table(spark, d, "requests").where("ts IS NOT NULL").select(F.col("ts").cast("date").alias("gun")).distinct()
+    verses, corpus = table(spark, d, "ayat").dropDuplicates(["id"]), table(spark, d, "corpus").dropDuplicates(["id"])
+    shown = lambda dil: daily.view(days, verses, corpus, dil).select("gun", F.lit(dil).alias("dil"), F.col("ayet.kaynak").alias("ayet_kaynak"), F.col("ayet.okunus").alias("ayet_okunus"), F.col("ayet.tr").alias("ayet_tr"), F.col("hadis.kaynak").alias("hadis_kaynak"), F.col("hadis.tr").alias("hadis_tr"), F.col("hadis.dereceEtiket").alias("etiket"))
+    return shown("tr").unionByName(shown("en"))
+
+
 _BODY = "TRY_CAST(body AS JSON)"
 _PLACES = f"places AS (SELECT req_id, ts, TRY_CAST(json_extract_string({_BODY}, '$.lat') AS DOUBLE) AS lat, TRY_CAST(json_extract_string({_BODY}, '$.lng') AS DOUBLE) AS lng FROM calls)"
 
@@ -311,10 +421,29 @@ def qibla_bearing(spark, d):
     return _places(spark, d).select("req_id", F.round(geo.bearing(F.col("lat"), F.col("lng")), 6).alias("aci"))
 
 
-@query()
+def _arc_sql(sine: str) -> str:
+    x = f"(({sine}) - sin(radians(lat)) * sin(dec)) / (cos(radians(lat)) * cos(dec))"
+    return f"CASE WHEN abs({x}) <= 1 THEN 4 * degrees(acos(greatest(-1, least(1, {x})))) END"
+
+
+def _sun_sql(day: str) -> str:
+    """req_id, lat, lng, dec (declination), noon (minutes) of places on a day."""
+    mod = lambda x: f"(({x}) - 360.0 * floor(({x}) / 360.0))"
+    return f"""(SELECT *, asin(sin(tilt) * sin(lon)) AS dec, 720.0 - 4.0 * lng - 4 * ({mod("q - degrees(atan2(cos(tilt) * sin(lon), cos(lon))) + 180.0")} - 180.0) AS noon FROM (
+    SELECT *, radians({mod("q + 1.915 * sin(g) + 0.020 * sin(2 * g)")}) AS lon, radians(23.439 - 0.00000036 * n) AS tilt FROM (
+    SELECT *, radians({mod("357.529 + 0.98560028 * n")}) AS g, {mod("280.459 + 0.98564736 * n")} AS q FROM (
+    SELECT *, CAST(date_diff('day', DATE '2000-01-01', {day}) AS DOUBLE) AS n FROM places WHERE ts IS NOT NULL AND abs(lat) <= 90 AND abs(lng) <= 180))))"""
+
+
+@query(f"""WITH {CALLS}, {_PLACES}, bugun AS {_sun_sql("CAST(ts AS DATE)")}, yarin AS {_sun_sql("CAST(ts AS DATE) + 1")}
+SELECT b.req_id, round(b.imsak, 3) AS imsak, round(b.gunes, 3) AS gunes, round(b.ogle, 3) AS ogle, round(b.ikindi, 3) AS ikindi, round(b.aksam, 3) AS aksam, round(b.yatsi, 3) AS yatsi, round(y.imsak + 1440, 3) AS "yarinImsak"
+FROM (SELECT req_id, noon - {_arc_sql("sin(radians(-18.0))")} AS imsak, noon - {_arc_sql("sin(radians(-0.833))")} - 7 AS gunes, noon + 5 AS ogle, noon + {_arc_sql("sin(atan(1 / (1 + tan(abs(radians(lat) - dec)))))")} + 4 AS ikindi, noon + {_arc_sql("sin(radians(-0.833))")} + 7 AS aksam, noon + {_arc_sql("sin(radians(-17.0))")} AS yatsi FROM bugun) b
+JOIN (SELECT req_id, noon - {_arc_sql("sin(radians(-18.0))")} AS imsak FROM yarin) y ON y.req_id = b.req_id""")
 def prayer_times(spark, d):
-    rows = _places(spark, d).where("ts IS NOT NULL").withColumn("v", geo.prayer_minutes(F.col("lat"), F.col("lng"), F.col("ts").cast("date")))
-    return rows.select("req_id", *[F.round(f"v.{c}", 3).alias(c) for c in ("imsak", "gunes", "ogle", "ikindi", "aksam", "yatsi")])
+    """Times of the day of each call with a place, and the dawn after, in minutes from midnight UTC."""
+    day = F.col("ts").cast("date")
+    rows = _places(spark, d).where("ts IS NOT NULL").withColumn("v", geo.prayer_minutes(F.col("lat"), F.col("lng"), day)).withColumn("yarinImsak", F.round(geo.next_dawn(F.col("lat"), F.col("lng"), day), 3))
+    return rows.select("req_id", *[F.round(f"v.{c}", 3).alias(c) for c in ("imsak", "gunes", "ogle", "ikindi", "aksam", "yatsi")], "yarinImsak")
 
 
 @query(f"""WITH {CALLS} SELECT req_id, CASE WHEN json_extract_string({_BODY}, '$.dil') = 'en' THEN 'en' ELSE 'tr' END AS dil,
