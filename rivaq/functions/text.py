@@ -97,3 +97,15 @@ def revelation_place(c: Column) -> Column:
 
 def article_case(c: Column) -> Column:
     return F.regexp_replace(c, "(?i)^al-", "Al-")
+
+
+# Short names of pages, what may be served, and media types by extension.
+PAGES = {"/": "/hadis.html", "/gizlilik": "/gizlilik.html", "/kullanim": "/kullanim.html"}
+SERVED = r"^/(hadis\.html|gizlilik\.html|kullanim\.html|fonts\.css|fonts/[\w.-]+\.woff2)$"
+CALLS = ("/api/dogrula", "/api/konu", "/api/kuran-konu", "/api/namaz", "/api/gunun")
+
+
+def served(path: Column) -> Column:
+    """The file a path stands for, or null if it is not on the list."""
+    known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PAGES.items() for x in kv]), path), path)
+    return F.when(known.rlike(SERVED), known)

@@ -2,8 +2,9 @@
 
 An anchored window begins with a caller's first call and holds all calls up to its length, that end included; the first
 call after it begins the next. Where a window begins depends on all before it, and one caller may make a third of all
-calls. So each caller's days are folded in parallel into small tables (where the day's first window may begin, and where
-its last one then begins), those are chained per caller, and then all days count their calls in parallel.
+calls (calls without an address are one caller). So each caller's ranges of time are folded in parallel into small tables
+(where the range's first window may begin, and where its last one then begins), those are chained per caller, and then
+all ranges place their calls in parallel. Calls are numbered by minutes, shifted by the counts of the minutes before.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 from rivaq.session import saved, shipped
 
 SECOND = 1_000_000
-DAY = 86_400 * SECOND
+#: Windows' lengths in a range that is folded by one task, and microseconds in which calls are numbered together.
+RANGE, MINUTE = 4, 60 * SECOND
 
 
-def _starts(t: np.ndarray, first: int, length: int) -> list[int]:
+def windows(t: np.ndarray, first: int, length: int) -> list[int]:
     """Positions in sorted times at which windows begin, the first one at position first."""
     out, i = [], first
     while i < len(t):
@@ -30,23 +32,20 @@ def _starts(t: np.ndarray, first: int, length: int) -> list[int]:
     return out
 
 
-def _days(t: np.ndarray, length: int) -> tuple[list[int], list[int], int]:
-    """Of one day's sorted times: ranges of the earlier window's end, the beginning of the day's last window for each, and the last time."""
-    near = int(np.searchsorted(t, t[0] // DAY * DAY + length, side="right"))
+def _range(t: np.ndarray, length: int, begin: int) -> tuple[list[int], list[int], int]:
+    """Of a range's sorted times: ranges of the earlier window's end, the beginning of the range's last window for each, and the last time."""
+    near = min(int(np.searchsorted(t, begin + length, side="right")), len(t) - 1) + 1
     nxt = np.searchsorted(t, t + length, side="right")
-    last = np.arange(len(t))
-    for i in range(len(t) - 1, -1, -1):
-        last[i] = i if nxt[i] >= len(t) else last[nxt[i]]
-    ends: list[int] = []
-    lasts: list[int] = []
-    for i in range(min(near, len(t) - 1) + 1):
-        upto = int(t[i]) - 1  # a window that ends by then makes i the first call after it
-        if lasts and lasts[-1] == t[last[i]]:
-            ends[-1] = upto
-        else:
-            ends.append(upto)
-            lasts.append(int(t[last[i]]))
-    return ends, lasts, int(t[-1])
+    last = np.where(nxt < len(t), nxt, np.arange(len(t)))
+    while True:  # each step doubles the windows leapt over
+        far = last[last]
+        if np.array_equal(far, last):
+            break
+        last = far
+    lasts = t[last[:near]]
+    # A window that ends before the i-th call makes it the first of the next; neighbours with one last window are one row.
+    final = np.flatnonzero(np.r_[lasts[1:] != lasts[:-1], True])
+    return (t[final] - 1).tolist(), lasts[final].tolist(), int(t[-1])
 
 
 def _each(keys: list[str], f: Callable[[dict[str, np.ndarray]], dict[str, list]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -85,7 +84,8 @@ def anchored(calls: DataFrame, key: str, ts: str, order: str, length_s: int = 36
     shipped(calls.sparkSession)
     length = length_s * SECOND
     rows = calls.where(F.col(ts).isNotNull()).select(F.coalesce(F.col(key), F.lit("x")).alias("anahtar"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("sira"))
-    rows = rows.withColumn("gun", F.floor(F.col("t") / DAY))
+    span = RANGE * length
+    rows = rows.withColumn("gun", F.floor(F.col("t") / span))
     rows = saved(rows, "calls")
     # Only the times matter for windows: equal ones are taken once.
     times = rows.groupBy("anahtar", "gun", "t").agg(F.lit(1).alias("b")).drop("b")
@@ -93,7 +93,7 @@ def anchored(calls: DataFrame, key: str, ts: str, order: str, length_s: int = 36
     times = times.repartition("anahtar", "gun").sortWithinPartitions("anahtar", "gun", "t")
 
     def fold(x: dict[str, np.ndarray]) -> dict[str, list]:
-        ends, lasts, most = _days(x["t"], length)
+        ends, lasts, most = _range(x["t"], length, int(x["gun"][0]) * span)
         return {"anahtar": [x["anahtar"][0]], "gun": [x["gun"][0]], "ends": [ends], "lasts": [lasts], "max_t": [most]}
 
     tables = times.mapInPandas(_each(["anahtar", "gun"], fold), "anahtar string, gun long, ends array<long>, lasts array<long>, max_t long")
@@ -103,30 +103,45 @@ def anchored(calls: DataFrame, key: str, ts: str, order: str, length_s: int = 36
         end, ins = -(2**62), []
         for ends, lasts, most in zip(x["ends"], x["lasts"], x["max_t"], strict=True):
             ins.append(end)
-            if end < most:  # else all calls of the day lie in the earlier window
+            if end < most:  # else all calls of the range lie in the earlier window
                 end = int(lasts[min(int(np.searchsorted(ends, end, side="left")), len(lasts) - 1)]) + length
         return {"anahtar": x["anahtar"].tolist(), "gun": x["gun"].tolist(), "gelen": ins}
 
     entry = tables.mapInPandas(_each(["anahtar"], chain), "anahtar string, gun long, gelen long")
 
-    def windows(x: dict[str, np.ndarray]) -> dict[str, list]:
+    def placed(x: dict[str, np.ndarray]) -> dict[str, list]:
         t, end = x["t"], int(x["gelen"][0])
-        at = _starts(t, int(np.searchsorted(t, end, side="right")), length)
+        at = windows(t, int(np.searchsorted(t, end, side="right")), length)
         begin = np.full(len(t), end - length, np.int64)
         for a, b in zip(at, [*at, len(t)][1:], strict=True):
             begin[a:b] = t[a]
         return {"anahtar": x["anahtar"].tolist(), "gun": x["gun"].tolist(), "t": t.tolist(), "bas": begin.tolist()}
 
     both = times.join(entry, ["anahtar", "gun"]).repartition("anahtar", "gun").sortWithinPartitions("anahtar", "gun", "t")
-    marked = both.mapInPandas(_each(["anahtar", "gun"], windows), "anahtar string, gun long, t long, bas long")
+    marked = both.mapInPandas(_each(["anahtar", "gun"], placed), "anahtar string, gun long, t long, bas long")
     full = rows.join(marked, ["anahtar", "gun", "t"])
-    n = F.row_number().over(Window.partitionBy("anahtar", "bas").orderBy("t", "sira"))
-    return full.select("anahtar", "t", "sira", "bas", n.alias("sayi")).withColumn("asildi", F.col("sayi") > limit)
+    full = numbered(full.select("anahtar", "t", "sira", "bas"), ["anahtar", "bas"], "t", ["t", "sira"], "sayi")
+    return full.select("anahtar", "t", "sira", "bas", "sayi").withColumn("asildi", F.col("sayi") > limit)
+
+
+def numbered(rows: DataFrame, by: list[str], micros: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number, from 1, within `by`: numbered within each minute, and shifted by the counts of the minutes before."""
+    rows = rows.withColumn("_m", F.floor(F.col(micros) / MINUTE))
+    counts = rows.groupBy(*by, "_m").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_m", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    within = F.row_number().over(Window.partitionBy(*by, "_m").orderBy(*order))
+    rows = rows.withColumn("_w", within).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "_m"]]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    keep = [F.col(f"r.{c}").alias(c) for c in rows.columns if c not in ("_m", "_w")]
+    return rows.join(counts.alias("c"), on).select(*keep, (F.col("c._b") + F.col("r._w")).cast("int").alias(name))
 
 
 def daily_numbers(calls: DataFrame, key: str, ts: str, order: str, limit: int = 5) -> DataFrame:
     """calls with gun (UTC date), sayi (the call's number among the key's of that day) and kalan (what remains of the limit after it)."""
     rows = calls.withColumn("gun", F.to_date(F.col(ts).cast("timestamp")))
-    n = F.row_number().over(Window.partitionBy(key, "gun").orderBy(ts, order))
-    return rows.withColumn("sayi", n).withColumn("kalan", F.greatest(F.lit(0), F.lit(limit) - F.col("sayi")))
-
+    rows = numbered(rows.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))), [key, "gun"], "_t", ["_t", order], "sayi")
+    return rows.drop("_t").withColumn("kalan", F.greatest(F.lit(0), F.lit(limit) - F.col("sayi")))

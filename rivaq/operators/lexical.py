@@ -141,3 +141,8 @@ def search(index: Index, docs: DataFrame, queries: DataFrame, k: int, predicate:
     spread = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = left.repartition(spread).crossJoin(right.select(F.col("b").alias("q"))).select("b", "q").mapInPandas(run, f"qid {kind}, id {dict(docs.dtypes)[key]}, skor double")
     return top_k(part, ["qid"], [F.desc("skor"), F.asc("id")], k, "sira").select("qid", "sira", "id", F.round("skor", 2).alias("skor"))
+
+
+def topics(index: Index, docs: DataFrame, queries: DataFrame, k: int, vectors: Callable[[DataFrame, int], DataFrame] | None, **how) -> DataFrame:
+    """qid, sira, id, skor of topic queries: by vectors(queries, k) where there are vectors, else by words, with the expansion and filters in how."""
+    return vectors(queries, k) if vectors is not None else search(index, docs, queries, k, **how)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rivaq.functions import geo
 from rivaq.functions import text as X
 from rivaq.operators import admission, daily, editions, encoders, grading, lexical, ranks, vector, verify
-from rivaq.sources.readers import request_body
+from rivaq.sources.readers import answers, optional_float_matrix, request_body
 from rivaq.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,18 @@ def bm25_verse_search(spark, d):
     return lexical.search(lexical.build(verses, "id", "tr"), verses, _topics(spark, d), 10, grade=None)
 
 
+MORE, LONGEST_TOPIC = "emanet komşu sabır", 300
+
+
+@query(f"WITH {RELATION}, {index_sql()}, {search_sql(f'SELECT qid, substr(text || {_lit(chr(32) + MORE)}, 1, {LONGEST_TOPIC}) AS text FROM ({TOPICS})', 10, chr(39).join(['derece IN (', 'sahih', ', ', 'hasen', ')']))} SELECT qid, sira, id, skor FROM hits")
+def topic_search_degraded(spark, d):
+    """Topic search where the file of vectors is missing: by words, each topic widened."""
+    rel = _relation(spark, d)
+    vectors = optional_float_matrix(spark, f"{d}/no-such-file.f32", 64)
+    wider = lambda q: q.withColumn("text", F.substring(F.concat("text", F.lit(" " + MORE)), 1, LONGEST_TOPIC))
+    return lexical.topics(lexical.build(rel, "id", "tr"), rel, _topics(spark, d), 10, vectors, predicate=F.col("derece").isin("sahih", "hasen"), expand=wider)
+
+
 PASSAGES = f"SELECT DISTINCT metin AS qid, metin AS text FROM (SELECT json_extract_string(TRY_CAST(body AS JSON), '$.metin') AS metin FROM requests) WHERE length({t_sql('metin')}) >= 8"
 
 
@@ -481,6 +493,24 @@ def table_counts(spark, d):
     return one.select(table(spark, d, "corpus").agg(F.countDistinct("id")).scalar().alias("hadis"), table(spark, d, "ayat").agg(F.countDistinct("id")).scalar().alias("ayet"), "sure")
 
 
+@query("SELECT CAST(to_json({'ok': true, 'hadis': (SELECT count(DISTINCT id) FROM corpus), 'ayet': (SELECT count(DISTINCT id) FROM ayat), 'llm': NULL}) AS VARCHAR) AS yanit")
+def health_json(spark, d):
+    """The service's state as a JSON answer."""
+    one = table(spark, d, "corpus").agg(F.countDistinct("id").alias("hadis"))
+    return answers(one.select(F.lit(True).alias("ok"), "hadis", table(spark, d, "ayat").agg(F.countDistinct("id")).scalar().alias("ayet"), F.lit(None).cast("string").alias("llm")))
+
+
+_SERVED = "(hadis.html|gizlilik.html|kullanim.html|fonts.css|fonts/[a-zA-Z0-9_.-]+.woff2)".replace(".html", r"\.html").replace(".css", r"\.css").replace("+.woff2", r"+\.woff2")
+
+
+@query(rf"""WITH {CALLS}, p AS (SELECT req_id, path, CASE path WHEN '/' THEN '/hadis.html' WHEN '/gizlilik' THEN '/gizlilik.html' WHEN '/kullanim' THEN '/kullanim.html' ELSE path END AS f FROM calls)
+SELECT req_id, CASE WHEN regexp_matches(f, '^/{_SERVED}$') THEN f END AS dosya, CASE WHEN regexp_matches(f, '^/{_SERVED}$') THEN CASE WHEN f LIKE '%.html' THEN 'text/html; charset=utf-8' WHEN f LIKE '%.css' THEN 'text/css; charset=utf-8' ELSE 'font/woff2' END END AS tur, coalesce(path IN {X.CALLS}, false) AS cagri FROM p""")
+def allowed_paths(spark, d):
+    """Of each call the file it may get, its media type, and whether it is a call of the service."""
+    rows = _calls(spark, d).select("req_id", "path", X.served(F.col("path")).alias("dosya"))
+    return rows.select("req_id", "dosya", F.when(F.col("dosya").isNotNull(), X.media_type(F.col("dosya"))).alias("tur"), F.coalesce(F.col("path").isin(*X.CALLS), F.lit(False)).alias("cagri"))
+
+
 @query()
 def encode_texts(spark, d):
     """id, dil, v: each saying's Turkish and English text, the Turkish one where there is no English."""

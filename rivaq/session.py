@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: set[str] = set()
-_shipped: set[str] = set()
+_shipped: dict[str, str] = {}
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -35,7 +39,8 @@ def shipped(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))
-        path = os.path.join(tempfile.mkdtemp(prefix="rivaq-code-"), "rivaq.zip")
+        folder = tempfile.mkdtemp(prefix="rivaq-code-")  # on the driver alone, which hands it out
+        path = os.path.join(folder, "rivaq.zip")
         with zipfile.ZipFile(path, "w") as z:
             for at, _, names in os.walk(root):
                 for name in names:
@@ -43,7 +48,7 @@ def shipped(spark: SparkSession) -> SparkSession:
                         full = os.path.join(at, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
         sc.addPyFile(path)
-        _shipped.add(sc.applicationId)
+        _shipped[sc.applicationId] = folder
     return spark
 
 
@@ -66,7 +71,34 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/rivaq/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._rivaq_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that saved() wrote and nothing reads any more, as those of earlier rounds."""
+    for df in tables:
+        path = getattr(df, "_rivaq_path", None)
+        if path in _written:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what saved() wrote within: the results must have been written or collected by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written - before if "/rivaq/" in p]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -76,16 +108,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _clean() -> None:
+    for folder in _shipped.values():
+        shutil.rmtree(folder, ignore_errors=True)
     spark = SparkSession.getActiveSession()
-    if spark is None:
+    if spark is None or not spark.sparkContext._jsc:
         return
-    try:
-        jvm = spark.sparkContext._jvm
-        for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
-        pass
+    for path in sorted(_written, key=len, reverse=True):
+        try:
+            _delete(spark, path)
+        except Exception as e:  # the file system may be gone before the session
+            logging.getLogger(__name__).warning("left behind: %s (%s)", path, e)
+            return
 
 
 atexit.register(_clean)

@@ -54,28 +54,38 @@ def request_body(body: Column) -> Column:
 
 
 def float_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """pos, v: rows of a file of little-endian 32-bit floats, read in ranges of whole rows by many tasks."""
+    """pos, v: rows of a file of little-endian 32-bit floats on any file system, read in splits of whole rows by many tasks."""
     shipped(spark)
-    size = spark.read.format("binaryFile").load(path).select("length").head()
-    rows = (size[0] // (4 * width)) if size else 0
-    step = max(1, (8 << 20) // (4 * width))
-    local = path.removeprefix("file:")
+    records = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a in batch.id:
-                n = min(step, rows - int(a))
-                m = np.fromfile(local, "<f4", n * width, offset=int(a) * width * 4).reshape(n, width)
-                yield pd.DataFrame({"pos": np.arange(a, a + n), "v": list(m)})
+            m = np.frombuffer(b"".join(map(bytes, batch.b)), "<f4").reshape(len(batch), width)
+            yield pd.DataFrame({"pos": batch.pos, "v": list(m)})
 
-    return spark.range(0, rows, step).mapInPandas(run, "pos long, v array<float>")
+    return spark.createDataFrame(records, "pos long, b binary").mapInPandas(run, "pos long, v array<float>")
+
+
+def optional_float_matrix(spark: SparkSession, path: str, width: int) -> DataFrame | None:
+    """float_matrix(), or None where the file is missing: callers then search without vectors."""
+    return float_matrix(spark, path, width) if exists(spark, path) else None
 
 
 def write_float_matrix(df: DataFrame, column: str, path: str, order: str = "pos") -> None:
-    """The vectors in the order given as one file of little-endian 32-bit floats (for small exports; keep Parquet for large ones)."""
-    with open(path, "wb") as f:
-        for r in df.orderBy(order).select(column).toLocalIterator():
-            f.write(np.asarray(r[0], "<f4").tobytes())
+    """The vectors in the order given as one file of little-endian 32-bit floats on any file system. One file has one writer: for readers that want this form; keep Parquet for large sets."""
+    spark = df.sparkSession
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"b": [np.stack(batch.v.to_numpy()).astype("<f4").tobytes()] if len(batch) else []})
+
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for r in df.orderBy(order).select(F.col(column).alias("v")).mapInPandas(run, "b binary").toLocalIterator():
+            out.write(bytes(r.b))
+    finally:
+        out.close()
 
 
 def localized_links(spark: SparkSession, css: str, files: str, extension: str = ".woff2") -> tuple[DataFrame, str]:
@@ -94,6 +104,11 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length")
 
 
+def answers(df: DataFrame, name: str = "yanit") -> DataFrame:
+    """Each row as one JSON text, null fields included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
+
+
 def write_records(df: DataFrame, path: str, as_json: bool = False) -> None:
     """The whole of df in place of what was there."""
     (df.write.mode("overwrite").json if as_json else df.write.mode("overwrite").parquet)(path)

@@ -40,6 +40,17 @@ def test_anchored_windows(spark, seed):
     assert got == brute_windows(calls, 3600, 7)
 
 
+def test_hot_caller_is_many_tasks(spark):
+    """One caller makes half of all calls, many in one minute: ranges and minutes divide it, and the numbers are those of one pass."""
+    r = random.Random(9)
+    calls = [(r.randrange(0, 7 * 86400) if r.random() < 0.8 else 3600 * 30 + r.randrange(60), i, "hot" if i % 2 else f"c{r.randrange(200)}") for i in range(6000)]
+    df = spark.createDataFrame(calls, "s long, i long, ip string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {x.sira: (x.bas // 10**6, x.sayi, x.asildi) for x in admission.anchored(df, "ip", "ts", "i", limit=7).collect()}
+    assert got == brute_windows(calls, 3600, 7)
+    ranges = {(ip, s // (admission.RANGE * 3600)) for s, _, ip in calls if ip == "hot"}
+    assert len(ranges) > 30  # each a task's work of its own
+
+
 def test_anchored_boundary_and_nulls(spark):
     df = spark.createDataFrame([(0, 1, None), (3600, 2, None), (3601, 3, None), (None, 4, "a")], "s long, i long, ip string").withColumn("ts", F.timestamp_seconds("s"))
     got = {x.sira: (x.anahtar, x.bas // 10**6, x.sayi) for x in admission.anchored(df, "ip", "ts", "i").collect()}
