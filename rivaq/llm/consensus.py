@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.llm import terms as T
-from rivaq.session import saved, shipped
+from rivaq.session import discard, saved, shipped
 
 CLASSES = ("sahih", "hasen", "zayif", "mevzu")
 M = len(CLASSES)
@@ -308,7 +308,8 @@ def _next(items: DataFrame, m: Model, small: bool) -> tuple[Model, float]:
 
 def _fit(items: DataFrame, m: Model, small: bool, rounds: int) -> Model:
     for _ in range(rounds):
-        m, moved = _next(items, m, small)
+        old, (m, moved) = m.frame, _next(items, m, small)
+        discard(old)
         if moved < MOVED:
             break
     return m

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.llm import pieces as P
-from rivaq.session import shipped
+from rivaq.session import shipped, spread
 
 LANGUAGES = ("tr", "en", "ar", "de", "fr", "id", "az", "fa")
 SAMPLE, LONGEST, CHARS, SWITCH = 400, 4000, 24_000, 3.0
@@ -68,6 +68,24 @@ def folded(text: str) -> str:
     return f" {_OTHER.sub(' ', low).strip()} "
 
 
+#: A letter that no text here has: stands between sentences folded together. Characters folded at once, documents decided at once.
+_BETWEEN, AT_ONCE, DOCUMENTS = "\U00013000", 1_000_000, 1000
+
+
+def folded_all(texts: list[str]) -> list[str]:
+    """folded() of each text, many at once: the expressions run over long strings, not over each sentence."""
+    out: list[str] = []
+    held, size = [], 0
+    for n, text in enumerate(texts, 1):
+        held.append(text)
+        size += len(text)
+        if size >= AT_ONCE or n == len(texts):
+            done = folded(f"\n{_BETWEEN}\n".join(held)).split(_BETWEEN)
+            out += [f" {x.strip()} " for x in done] if len(done) == len(held) else map(folded, held)
+            held, size = [], 0
+    return out
+
+
 def arabic(text: str) -> bool | None:
     """Whether most letters are Arabic; null for a text without letters of a known script."""
     a = 0 if text.isascii() else len("".join(_ARABIC.findall(text)))
@@ -115,6 +133,25 @@ def automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
+def _spans(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum to about `most`."""
+    done, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _by_script(texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of the Arabic and of the Latin script in each folded text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    kind = np.zeros(int(points.max(initial=0)) + 1, np.int8)
+    for c in np.flatnonzero(np.bincount(points)) if len(points) else ():
+        kind[c] = 1 if _ARABIC.match(chr(c)) else 2 if _LATIN.match(chr(c)) else 0
+    row, own = np.repeat(np.arange(len(texts)), size), kind[points]
+    return np.bincount(row[own == 1], minlength=len(texts)), np.bincount(row[own == 2], minlength=len(texts))
+
+
 class Parser:
     """Greedy parsing by one automaton as a table: for state and letter the next state, and whether a phrase began."""
 
@@ -177,11 +214,13 @@ class Model:
     def costs(self, texts: list[str]) -> np.ndarray:
         """Phrases each language needs for each folded text; infinite for languages of another script."""
         out = np.full((len(texts), len(self.order)), np.inf)
-        scripts = [arabic(t) for t in texts]
+        every = np.array([len(t) for t in texts], np.int64)
+        letters = [_by_script(texts[a:b], every[a:b]) for a, b in _spans(every, AT_ONCE)]
+        right, left = (np.concatenate([x[i] for x in letters]) if letters else np.zeros(0, np.int64) for i in (0, 1))
         for script in (False, True):
-            mine = np.array([i for i, x in enumerate(scripts) if x is script], np.int64)
+            mine = np.flatnonzero((right + left > 0) & ((right > left) == script))
             if len(mine):
-                size = np.array([len(texts[i]) for i in mine])
+                size = every[mine]
                 order = np.argsort(-size, kind="stable")
                 mine, size, a = mine[order], size[order], 0
                 while a < len(mine):
@@ -192,7 +231,10 @@ class Model:
 
     def _some(self, texts: list[str], rows: np.ndarray, size: np.ndarray, script: bool, out: np.ndarray) -> None:
         joined = np.frombuffer("".join(texts[i] for i in rows).encode("utf-32-le"), np.uint32)
-        points, at = np.unique(joined, return_inverse=True)
+        points = np.flatnonzero(np.bincount(joined))
+        place = np.zeros(int(points[-1]) + 1, np.int16)
+        place[points] = np.arange(len(points))
+        at = place[joined]
         matrix = np.zeros((int(size[0]), len(rows)), np.int16)
         column = np.repeat(np.arange(len(rows)), size)
         start = np.repeat(np.cumsum(size) - size, size)
@@ -285,6 +327,104 @@ def _agreed(docs: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
     return out
 
 
+def assigned(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, etiket (code its label means, or null), ana (main language), guven, parca_sayisi, sira, konum, lang, parca_guven: a row for each stretch of consecutive sentences in one language; confidence is the share of phrases saved against the next best language."""
+    shipped(documents.sparkSession)
+    model = model or fitted(documents)
+    held = documents.sparkSession.sparkContext.broadcast(model.state())
+
+    def certainty(costs: np.ndarray, j: int) -> float:
+        rest = np.delete(costs, j)
+        second = rest.min() if len(rest) else np.inf
+        return float(np.clip(1 - costs[j] / second, 0, 1)) if np.isfinite(second) and second > 0 else 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Model.of(*held.value)
+        for whole in batches:
+            for at in range(0, len(whole), DOCUMENTS):
+                batch, out = whole.iloc[at : at + DOCUMENTS], []
+                spans = [sentences(text) for text in batch.text]
+                texts = folded_all([text[a:b] for text, own in zip(batch.text, spans, strict=True) for a, b in own])
+                if not m.order or not texts:
+                    continue
+                costs, size = m.costs(texts), np.array([len(t) for t in texts], dtype=float)
+                count = np.array([len(own) for own in spans])
+                docs = np.flatnonzero(count)
+                start = (np.cumsum(count) - count)[docs]
+                known, best = np.isfinite(costs).any(axis=1), costs.argmin(axis=1)
+                low = np.minimum.reduceat(np.where(known, best, len(m.order)), start)
+                high = np.maximum.reduceat(np.where(known, best, -1), start)
+                total = np.add.reduceat(np.where(known[:, None], costs, 0.0), start, axis=0)
+                ids, labels = batch.doc_id.to_numpy(), batch.etiket.to_numpy()
+                for n, doc in enumerate(docs.tolist()):
+                    if high[n] < 0:
+                        continue
+                    if low[n] == high[n]:  # one language is the best for every sentence
+                        j = int(low[n])
+                        sure = certainty(total[n], j)
+                        out.append((ids[doc], labels[doc], m.order[j], sure, 1, 0, 0, m.order[j], sure))
+                        continue
+                    mine, a = spans[doc], int(start[n])
+                    own, weights = costs[a : a + len(mine)], size[a : a + len(mine)]
+                    langs = m.decide(own)
+                    main = int(np.bincount(langs, weights=weights, minlength=len(m.order)).argmax())
+                    inside = (np.array(langs) == main) & known[a : a + len(mine)]
+                    sure = certainty(own[inside].sum(axis=0), main)
+                    first, k, many = 0, 0, 1 + int(np.count_nonzero(np.diff(langs)))
+                    while first < len(langs):
+                        last = first
+                        while last < len(langs) and langs[last] == langs[first]:
+                            last += 1
+                        part = own[first:last][known[a + first : a + last]]
+                        out.append((ids[doc], labels[doc], m.order[main], sure, many, k, mine[first][0] if k else 0, m.order[langs[first]], certainty(part.sum(axis=0), langs[first]) if len(part) else 0.0))
+                        first, k = last, k + 1
+                yield pd.DataFrame(out, columns=["doc_id", "etiket", "ana", "guven", "parca_sayisi", "sira", "konum", "lang", "parca_guven"])
+
+    rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("kod"), F.xxhash64("doc_id").alias("h")).where(f"kod IS NOT NULL AND text IS NOT NULL AND length(text) <= {longest}")
+    share = {r.kod: min(1.0, 2.0 * sample / r.n) for r in rows.groupBy("kod").agg(F.count("*").alias("n")).collect()}
+    if not share:
+        return Model({})
+    limit = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int((v - 0.5) * (2**64 - 2)) if v < 1 else 2**63 - 1))]), F.col("kod"))
+    taken = sorted(rows.where(F.col("h") <= limit).select("kod", "h", "text").collect(), key=lambda r: (r.kod, r.h))
+    docs, count = [], {}
+    for r in taken:
+        n = count[r.kod] = count.get(r.kod, 0) + 1
+        if n <= sample:
+            docs.append((r.kod, [folded(r.text[a:b]) for a, b in sentences(r.text)]))
+    for _ in range(CLEAN):
+        docs = _agreed(docs)
+    return _learn([(k, s) for k, texts in docs for s in texts], chars)
+
+
+def _agreed(docs: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """The documents' sentences whose words occur, for their number of documents, most under the documents' own label."""
+    size: dict[str, int] = {}
+    seen: dict[str, dict[str, int]] = {}
+    for k, texts in docs:
+        size[k] = size.get(k, 0) + 1
+        for w in {w for s in texts for w in s.split()}:
+            mine = seen.setdefault(w, {})
+            mine[k] = mine.get(k, 0) + 1
+    share = {}
+    for w, mine in seen.items():
+        if sum(mine.values()) > 1:
+            rate = {k: n / size[k] for k, n in mine.items()}
+            share[w] = {k: x / sum(rate.values()) for k, x in rate.items()}
+    out = []
+    for k, texts in docs:
+        kept = []
+        for s in texts:
+            votes: dict[str, float] = {}
+            for w in s.split():
+                for lang, x in share.get(w, {}).items():
+                    votes[lang] = votes.get(lang, 0.0) + x
+            if votes and max(votes, key=lambda x: (votes[x], x == k)) == k:
+                kept.append(s)
+        if kept:
+            out.append((k, kept))
+    return out
+
+
 def assigned(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, etiket (code its label means, or null), ana (main language), guven, parca_sayisi, sira, konum, lang, parca_guven: a row for each stretch of consecutive sentences in one language; confidence is the share of phrases saved against the next best language."""
     shipped(documents.sparkSession)
@@ -326,7 +466,7 @@ def assigned(documents: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "etiket", "ana", "guven", "parca_sayisi", "sira", "konum", "lang", "parca_guven"])
 
     rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("etiket")).where(r"text RLIKE '\\S'")
-    return rows.mapInPandas(run, "doc_id long, etiket string, ana string, guven double, parca_sayisi int, sira int, konum int, lang string, parca_guven double")
+    return spread(rows).mapInPandas(run, "doc_id long, etiket string, ana string, guven double, parca_sayisi int, sira int, konum int, lang string, parca_guven double")
 
 
 def found(documents: DataFrame) -> DataFrame:

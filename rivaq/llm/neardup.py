@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivaq.llm import normalize as N
-from rivaq.session import saved, shipped
+from rivaq.session import discard, saved, shipped, spread
 
 SHARE, SKETCH, FILL, REACH, FREQUENT = 0.7, 12, 8, 4, 2e-5
 #: A word seen less often than this is rare in any collection.
@@ -95,7 +95,7 @@ def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
             yield made.filter(pa.array(np.diff(offsets) > 0))
 
     shipped(df.sparkSession)
-    src = df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).where("k IS NOT NULL")
+    src = spread(df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).where("k IS NOT NULL"))
     return src.mapInArrow(run, "k string, alan byte, h long, n int, w binary")
 
 
@@ -277,9 +277,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _salted(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         new = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            break
+        done = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
+        discard(large, edges)
         edges = new
+        if done:
+            break
     return edges.select("u", F.col("v").alias("grup")).union(edges.select("v", "v").distinct())
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivaq.session import shipped
+from rivaq.session import shipped, spread
 
 # Letters of other scripts that look like Latin ones, capital and small, in the order of the alphabets.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјкмнорстухԁԛԝһӏгп"
@@ -205,7 +205,7 @@ def normalized(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Null texts give no row. Columns of df other than those named are not read. Rows delivered twice stay twice.
     """
     shipped(df.sparkSession)
-    src = df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    src = spread(df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
     parts = " UNION ALL ".join(f"SELECT k, {_quoted(c)} AS alan, c{i} AS metin FROM t WHERE c{i} IS NOT NULL" for i, c in enumerate(columns))
     sql = f"SELECT k, alan, asil AS metin, bicim, (bicim <> asil OR karisik) AS degisti FROM ({whole_sql(f'({parts})', 'k, alan')})"
     schema = pa.schema([("k", pa.string()), ("alan", pa.string()), ("metin", pa.string()), ("bicim", pa.string()), ("degisti", pa.bool_())])
@@ -216,7 +216,7 @@ def normalized(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def changed(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, alan) of each value that is not in the consistent form; the texts do not leave the Arrow partition."""
     shipped(df.sparkSession)
-    src = df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    src = spread(df.select(df[key].cast("string").alias("k"), *[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
     parts = " UNION ALL ".join(f"SELECT k, {_quoted(c)} AS alan, c{i} AS metin FROM t WHERE c{i} IS NOT NULL" for i, c in enumerate(columns))
     sql = f"SELECT DISTINCT k, alan FROM ({whole_sql(f'({parts})', 'k, alan')}) WHERE bicim <> asil OR karisik"
     schema = pa.schema([("k", pa.string()), ("alan", pa.string())])

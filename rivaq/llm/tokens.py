@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivaq.session import shipped
+from rivaq.session import shipped, spread
 
 #: Folder of the vocabulary files, and the one used: byte-level BPE for many languages, 50,256 ranks.
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
@@ -41,7 +41,7 @@ def sized(documents: DataFrame, keep: list[str], folder: str = FOLDER, vocabular
             encode = encoding(path).encode_ordinary
             yield batch[keep].assign(n=[len(encode(t)) for t in batch.text])
 
-    rows = documents.select(*keep, "text").where("text IS NOT NULL AND text <> ''")
+    rows = spread(documents.select(*keep, "text").where("text IS NOT NULL AND text <> ''"))
     schema = rows.select(*keep).schema.add("n", "long")
     return rows.mapInPandas(run, schema)
 
