@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,17 +73,31 @@ def folded(text: str) -> str:
 _BETWEEN, AT_ONCE, DOCUMENTS = "\U00013000", 1_000_000, 1000
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each code point of the first planes: 0 between words, 1 a letter or digit, 2 a mark that folding drops; the last entry is for those beyond."""
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    kind = np.zeros(0x20001, np.uint8)
+    kind[[ord(c) for c in re.findall(r"[^\W_]", "".join(map(chr, points)))]] = 1
+    kind[[ord(c) for c in map(chr, range(0x300, 0xFFFF)) if unicodedata.combining(c)]] = 2
+    kind[-1] = 1
+    return kind
+
+
 def folded_all(texts: list[str]) -> list[str]:
-    """folded() of each text, many at once: the expressions run over long strings, not over each sentence."""
+    """folded() of each text, many at once: code points are looked up in a table instead of being searched sentence by sentence."""
     out: list[str] = []
-    held, size = [], 0
-    for n, text in enumerate(texts, 1):
-        held.append(text)
-        size += len(text)
-        if size >= AT_ONCE or n == len(texts):
-            done = folded(f"\n{_BETWEEN}\n".join(held)).split(_BETWEEN)
-            out += [f" {x.strip()} " for x in done] if len(done) == len(held) else map(folded, held)
-            held, size = [], 0
+    for a, b in _spans(np.array([len(t) for t in texts], np.int64), AT_ONCE):
+        low = _NOISE.sub(" ", f"\n{_BETWEEN}\n".join(texts[a:b]).replace("İ", "i").lower())
+        if not low.isascii():
+            low = unicodedata.normalize("NFD", low.replace("ı", "i"))
+        points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[np.minimum(points, 0x20000)]
+        points = np.where(kind == 1, points, np.uint32(32))[kind != 2]
+        blank = points == 32
+        points = points[~(blank & np.r_[True, blank[:-1]])]
+        done = points.tobytes().decode("utf-32-le").split(_BETWEEN)
+        out += [f" {x.strip()} " for x in done] if len(done) == b - a else map(folded, texts[a:b])
     return out
 
 
@@ -380,91 +395,6 @@ def assigned(documents: DataFrame, model: Model | None = None) -> DataFrame:
                         first, k = last, k + 1
                 yield pd.DataFrame(out, columns=["doc_id", "etiket", "ana", "guven", "parca_sayisi", "sira", "konum", "lang", "parca_guven"])
 
-    rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("kod"), F.xxhash64("doc_id").alias("h")).where(f"kod IS NOT NULL AND text IS NOT NULL AND length(text) <= {longest}")
-    share = {r.kod: min(1.0, 2.0 * sample / r.n) for r in rows.groupBy("kod").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return Model({})
-    limit = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int((v - 0.5) * (2**64 - 2)) if v < 1 else 2**63 - 1))]), F.col("kod"))
-    taken = sorted(rows.where(F.col("h") <= limit).select("kod", "h", "text").collect(), key=lambda r: (r.kod, r.h))
-    docs, count = [], {}
-    for r in taken:
-        n = count[r.kod] = count.get(r.kod, 0) + 1
-        if n <= sample:
-            docs.append((r.kod, [folded(r.text[a:b]) for a, b in sentences(r.text)]))
-    for _ in range(CLEAN):
-        docs = _agreed(docs)
-    return _learn([(k, s) for k, texts in docs for s in texts], chars)
-
-
-def _agreed(docs: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
-    """The documents' sentences whose words occur, for their number of documents, most under the documents' own label."""
-    size: dict[str, int] = {}
-    seen: dict[str, dict[str, int]] = {}
-    for k, texts in docs:
-        size[k] = size.get(k, 0) + 1
-        for w in {w for s in texts for w in s.split()}:
-            mine = seen.setdefault(w, {})
-            mine[k] = mine.get(k, 0) + 1
-    share = {}
-    for w, mine in seen.items():
-        if sum(mine.values()) > 1:
-            rate = {k: n / size[k] for k, n in mine.items()}
-            share[w] = {k: x / sum(rate.values()) for k, x in rate.items()}
-    out = []
-    for k, texts in docs:
-        kept = []
-        for s in texts:
-            votes: dict[str, float] = {}
-            for w in s.split():
-                for lang, x in share.get(w, {}).items():
-                    votes[lang] = votes.get(lang, 0.0) + x
-            if votes and max(votes, key=lambda x: (votes[x], x == k)) == k:
-                kept.append(s)
-        if kept:
-            out.append((k, kept))
-    return out
-
-
-def assigned(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, etiket (code its label means, or null), ana (main language), guven, parca_sayisi, sira, konum, lang, parca_guven: a row for each stretch of consecutive sentences in one language; confidence is the share of phrases saved against the next best language."""
-    shipped(documents.sparkSession)
-    model = model or fitted(documents)
-    held = documents.sparkSession.sparkContext.broadcast(model.state())
-
-    def certainty(costs: np.ndarray, j: int) -> float:
-        rest = np.delete(costs, j)
-        second = rest.min() if len(rest) else np.inf
-        return float(np.clip(1 - costs[j] / second, 0, 1)) if np.isfinite(second) and second > 0 else 1.0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model.of(*held.value)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch, out, texts, spans = whole.iloc[at : at + 1000], [], [], []
-                for text in batch.text:
-                    spans.append(sentences(text))
-                    texts += [folded(text[a:b]) for a, b in spans[-1]]
-                costs, i = m.costs(texts) if m.order else np.zeros((len(texts), 0)), 0
-                for doc, label, mine in zip(batch.doc_id, batch.etiket, spans, strict=True):
-                    own, size = costs[i : i + len(mine)], np.array([len(t) for t in texts[i : i + len(mine)]], dtype=float)
-                    i += len(mine)
-                    langs = m.decide(own) if m.order and mine else []
-                    if not langs or langs[0] < 0:
-                        continue
-                    weight = np.bincount(langs, weights=size, minlength=len(m.order))
-                    main = int(weight.argmax())
-                    inside = np.array(langs) == main
-                    sure = certainty(np.where(np.isfinite(own[inside]), own[inside], np.inf)[np.isfinite(own[inside]).any(axis=1)].sum(axis=0), main)
-                    first, n, many = 0, 0, 1 + int(np.count_nonzero(np.diff(langs)))
-                    while first < len(langs):
-                        last = first
-                        while last < len(langs) and langs[last] == langs[first]:
-                            last += 1
-                        part = own[first:last][np.isfinite(own[first:last]).any(axis=1)]
-                        out.append((doc, label, m.order[main], sure, many, n, mine[first][0] if n else 0, m.order[langs[first]], certainty(part.sum(axis=0), langs[first]) if len(part) else 0.0))
-                        first, n = last, n + 1
-                yield pd.DataFrame(out, columns=["doc_id", "etiket", "ana", "guven", "parca_sayisi", "sira", "konum", "lang", "parca_guven"])
-
     rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("etiket")).where(r"text RLIKE '\\S'")
     return spread(rows).mapInPandas(run, "doc_id long, etiket string, ana string, guven double, parca_sayisi int, sira int, konum int, lang string, parca_guven double")
 

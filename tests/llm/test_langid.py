@@ -87,3 +87,9 @@ def test_held_out_accuracy(spark, data):
     df = spark.read.parquet(f"{folder}/documents.parquet")
     rows = L.assigned(df.where("doc_id % 2 = 0"), L.fitted(df.where("doc_id % 2 = 1"))).where("parca_sayisi = 1 AND etiket IS NOT NULL").select("etiket", "ana").collect()
     assert sum(r.etiket == r.ana for r in rows) / len(rows) > 0.85
+
+
+def test_folding_many_is_folding_each():
+    texts = ["Kitab-ı  OKUDU, İstanbul'da [3] 12.5!", "", "مُحَمَّدٌ كَتَبَ", "Straße à Bâle https://x.y/z_1", "__a_b__", "İı", "𓀀 hiyeroglif", "日本 ٣٤", "́x", "a" * 50]
+    assert L.folded_all(texts) == [L.folded(t) for t in texts]
+    assert L.folded_all(texts[:6] + texts[7:]) == [L.folded(t) for t in texts[:6] + texts[7:]] and L.folded_all([]) == []
