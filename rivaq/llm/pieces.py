@@ -53,14 +53,24 @@ def _token(text: str, at: int, start: int) -> str:
     return w.lstrip(OPENERS + ".")
 
 
-def _breaks(text: str, m: re.Match, start: int, end: int) -> bool:
-    """Whether a sentence ends with the stop m of the line text[start:end]."""
+def _stop_end(text: str, m: re.Match, start: int, end: int) -> int:
+    """Where the stop m ends: a quotation mark right before a letter opens what follows, unless one is open."""
     i = m.end()
+    if i < end and i - 1 >= m.end(1) and text[i].isalnum():
+        mark = text[i - 1]
+        if mark == "“" and text.count("„", start, i) <= text.count("“", start, i - 1) or mark in "\"'" and text.count(mark, start, i - 1) % 2 == 0:
+            return i - 1
+    return i
+
+
+def _breaks(text: str, m: re.Match, at: int, start: int, end: int) -> bool:
+    """Whether a sentence ends with the stop m, which ends at `at`, of the line text[start:end]."""
+    i = at
     while i < end and (text[i].isspace() or unicodedata.category(text[i]) == "Cf"):
         i += 1
     if i >= end:
         return False
-    blank, j = i > m.end(), i
+    blank, j = i > at, i
     while j < end and (text[j] in OPENERS or text[j].isspace() or text[j] == "<"):
         tag = _TAG.match(text, j, end) if text[j] == "<" else None
         if text[j] == "<" and not tag:
@@ -72,8 +82,10 @@ def _breaks(text: str, m: re.Match, start: int, end: int) -> bool:
         return False
     stop = m.group(1)
     w = _token(text, m.start(), start)
-    if not blank and j == i and (text[j].isdigit() or len(w) < 2 or not w[-1].isalpha() and w[-1] not in CLOSERS or w[-1].isupper()):
-        return False
+    if not blank and j == i and stop in (".", "．"):
+        word = text[j].isupper() and text[j + 1 : j + 2].islower()
+        if text[j].isdigit() or not (word and w.isdigit()) and (len(w) < 2 or not w[-1].isalpha() and w[-1] not in CLOSERS or w[-1].isupper()):
+            return False
     if text[j].islower():
         return blank and text[i] not in "([{（［-–—"
     if stop in (".", "．"):
@@ -99,9 +111,10 @@ def sentence_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]
     """Start and end of each sentence of one line."""
     at = start
     for m in _END.finditer(text, start, end):
-        if m.start() >= at and _breaks(text, m, start, end):
-            yield at, m.end()
-            at = m.end()
+        stop = _stop_end(text, m, start, end)
+        if m.start() >= at and _breaks(text, m, stop, start, end):
+            yield at, stop
+            at = stop
             while at < end and text[at].isspace():
                 at += 1
     if at < end:

@@ -16,6 +16,8 @@ def test_sentences():
     assert parts("Dr. Ali geldi (bkz. c. 3, s. 16). K. Veli no. 65 sandık vb. erzak aldı... öyle derler. It weighs 2.5 kg, cf. vol. 3, p. 73. When?") == ["Dr. Ali geldi (bkz. c. 3, s. 16).", "K. Veli no. 65 sandık vb. erzak aldı... öyle derler.", "It weighs 2.5 kg, cf. vol. 3, p. 73.", "When?"]
     assert parts("Âdet doğdu.Kuyumcu geldi;Sonra a.b.c gitti.\n- Madde bir\nBaşlık\n\n«Söz.» Dedi") == ["Âdet doğdu.", "Kuyumcu geldi;Sonra a.b.c gitti.", "- Madde bir", "Başlık", "«Söz.»", "Dedi"]
     assert parts("جاء الرجل. ذهب الولد؟ نعم") == ["جاء الرجل.", "ذهب الولد؟", "نعم"]
+    assert parts("See p. 180.Beside the well.“Whose load?” asked Ali.\"Why?\" asked she. „Wer?“ Dann ging er.”Ja") == ["See p. 180.", "Beside the well.", "“Whose load?” asked Ali.", "\"Why?\" asked she.", "„Wer?“", "Dann ging er.”", "Ja"]
+    assert parts("Box no. 2.Once upon.\nBox 17!..In 1.5 km. v2.0 is out. No. 7?Yes") == ["Box no. 2.", "Once upon.", "Box 17!..", "In 1.5 km. v2.0 is out.", "No. 7?", "Yes"]
     assert parts("") == parts(" \n\t ") == []
 
 
