@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rivaq.functions import geo
 from rivaq.functions import text as X
 from rivaq.operators import admission, daily, editions, encoders, grading, lexical, ranks, vector, verify
-from rivaq.sources.readers import answers, optional_float_matrix, request_body
+from rivaq.session import fresh_path
+from rivaq.sources.readers import answers, float_matrix, json_records, optional_float_matrix, request_body, write_float_matrix, write_records
 from rivaq.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -511,6 +512,32 @@ def allowed_paths(spark, d):
     return rows.select("req_id", "dosya", F.when(F.col("dosya").isNotNull(), X.media_type(F.col("dosya"))).alias("tur"), F.coalesce(F.col("path").isin(*X.CALLS), F.lit(False)).alias("cagri"))
 
 
+@query(f"WITH {CALLS} SELECT req_id, coalesce(nullif({t_sql("split_part(ip, ',', 1)")}, ''), 'x') AS adres FROM calls")
+def caller_address(spark, d):
+    """The address each call counts for: the first hop, or one for all calls without."""
+    return _calls(spark, d).select("req_id", X.first_hop(F.col("ip"), F.lit(None).cast("string")).alias("adres"))
+
+
+@query("SELECT DISTINCT id, kitap, no, tr, derece, len(alimler) AS gorus, alimler[1].alim AS ilk FROM corpus")
+def json_round_trip(spark, d):
+    """The corpus written as JSON records and read again with a schema."""
+    rows = table(spark, d, "corpus").dropDuplicates(["id"])
+    path = fresh_path(spark, "json")
+    write_records(rows, path, as_json=True)
+    back = json_records(spark, path, "id STRING, kitap STRING, no DOUBLE, tr STRING, derece STRING, alimler ARRAY<STRUCT<alim: STRING, derece: STRING, norm: STRING>>", lines=True)
+    return back.select("id", "kitap", "no", "tr", "derece", F.when(F.col("alimler").isNotNull(), F.size("alimler")).cast("long").alias("gorus"), F.get("alimler", F.lit(0))["alim"].alias("ilk"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS ilk, CAST(embedding[len(embedding)] AS DOUBLE) AS son FROM embeddings")
+def float_matrix_round_trip(spark, d):
+    """The vectors written as one file of floats and read again in splits."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    path = fresh_path(spark, "matrix")
+    write_float_matrix(rows, "embedding", path, order="vec_id")
+    width = rows.select(F.size("embedding")).head()[0]
+    return float_matrix(spark, path, width).select("pos", F.size("v").cast("long").alias("n"), F.get("v", F.lit(0)).cast("double").alias("ilk"), F.element_at("v", -1).cast("double").alias("son"))
+
+
 @query()
 def encode_texts(spark, d):
     """id, dil, v: each saying's Turkish and English text, the Turkish one where there is no English."""

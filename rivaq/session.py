@@ -65,12 +65,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not used yet; deleted at the end of the session, or of scratch()."""
+    path = f"{shared_dir(spark)}/rivaq/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def saved(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rivaq/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _written.add(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._rivaq_path = path
     return back
@@ -102,8 +108,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores, such as one of a single small file, spread over all cores for work that costs more than the shuffle of its rows; others stay as they are."""
+    """A scan of fewer partitions than cores, such as one of a single small file, spread over all cores for work that costs more than the shuffle of its rows; other scans, and rows that are shuffled anyway, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Deduplicate", "InPandas", "InArrow")):
+        return df  # asking such a plan for its partitions would run its shuffles
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

@@ -44,8 +44,9 @@ def chapter_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INFO).json(path, multiLine=True)
 
 
-def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def json_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Records of one JSON array, or of one record a line, which splits into many tasks."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def request_body(body: Column) -> Column:
