@@ -15,6 +15,6 @@ def test_written_tables_go(spark):
 
 def test_spread(spark):
     cores = spark.sparkContext.defaultParallelism
-    assert session.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores + 3)
-    assert session.spread(many) is many
+    assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    many, shuffled = spark.range(0, 100, 1, cores + 3), spark.range(0, 100, 1, 1).groupBy("id").count()
+    assert session.spread(many) is many and session.spread(shuffled) is shuffled
