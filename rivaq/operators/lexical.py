@@ -7,9 +7,9 @@ whatever the filter.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,8 @@ from rivaq.operators.ranks import top_k
 from rivaq.session import saved, shipped, spread
 
 K1, B, PENALTY = 1.5, 0.75, 0.92
-#: Documents and queries in a block: one table of scores is at most 4096 x 512.
-ROWS, ASKED = 4096, 512
+#: Documents and queries in a block: one table of scores is at most 4096 x 512. Words of queries that go to every task at once.
+ROWS, ASKED, HELD = 4096, 512, 2_000_000
 
 
 #: Different words of all queries that are broadcast (some 50 bytes each); more are joined by a shuffle.
@@ -82,19 +82,13 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """b: rows (k, t: array of terms, w: array of weights) packed into blocks as they come, each sorted by k."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), size):
-                part = batch.iloc[a : a + size].sort_values("k", kind="stable")
-                row = np.repeat(np.arange(len(part)), part.t.str.len().to_numpy(np.int64))
-                t, w = np.concatenate(part.t.to_numpy()), np.concatenate(part.w.to_numpy())
-                order = np.argsort(t, kind="stable")
-                yield pd.DataFrame({"b": [pickle.dumps((part.k.tolist(), t[order].astype(np.int64), row[order], w[order].astype(np.float64)))]})
-
-    return rows.mapInPandas(run, "b binary")
+def _block(part: pd.DataFrame) -> tuple:
+    """Rows (k, t: array of terms, w: array of weights) as one block: keys in order, and terms in order with their rows and weights."""
+    part = part.sort_values("k", kind="stable")
+    row = np.repeat(np.arange(len(part)), part.t.str.len().to_numpy(np.int64))
+    t, w = np.concatenate(part.t.to_numpy()), np.concatenate(part.w.to_numpy())
+    order = np.argsort(t, kind="stable")
+    return part.k.tolist(), t[order].astype(np.int64), row[order], w[order].astype(np.float64)
 
 
 def _best(docs: tuple, asked: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +112,8 @@ def _best(docs: tuple, asked: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np
 def search(index: Index, docs: DataFrame, queries: DataFrame, k: int, predicate: Column | None = None, key: str = "id", grade: str | None = "derece", expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """qid, sira (rank from 1), id, skor (two places): the k best documents of each query. predicate and grade are columns of docs; ties go to the smaller id; expand may add words to the queries.
 
-    The query set meets the documents that hold any of its terms block by block; each pair of blocks keeps its k best.
+    The query set, in slices of at most HELD words, goes to all tasks, where it meets the documents that hold any of its
+    terms block by block; a task keeps the k best of each query.
     """
     shipped(docs.sparkSession)
     queries = expand(queries) if expand else queries
@@ -126,21 +121,43 @@ def search(index: Index, docs: DataFrame, queries: DataFrame, k: int, predicate:
     asked = saved(_asked(queries), "asked")
     hits = _weighed(index, asked).select("id", F.xxhash64("term").alias("t"), "w")
     rows = hits.groupBy("id").agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w")).join(facts, "id")
-    left = _packed(rows.select(F.col("id").alias("k"), "t", F.transform("w", lambda x: x * F.col("carpan")).alias("w")), ROWS)
-    kind = dict(queries.dtypes)["qid"]
-    right = _packed(asked.groupBy("qid").agg(F.collect_list(F.xxhash64("term")).alias("t"), F.collect_list(F.col("qf").cast("double")).alias("w")).select(F.col("qid").alias("k"), "t", "w"), ASKED)
+    rows = rows.select(F.col("id").alias("k"), "t", F.transform("w", lambda x: x * F.col("carpan")).alias("w"))
+    lists = asked.groupBy("qid").agg(F.collect_list(F.xxhash64("term")).alias("t"), F.collect_list(F.col("qf").cast("double")).alias("w")).withColumnRenamed("qid", "k")
+    slices = -(-asked.count() // HELD)
+    spark = docs.sparkSession
+    # Rows are few and costly: spread over all cores, which adaptive execution would not do for so few bytes.
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(cores)
+    rows = saved(rows, "rows") if slices > 1 else rows
+    schema = f"qid {dict(queries.dtypes)['qid']}, id {dict(docs.dtypes)[key]}, skor double"
+    parts = [_against(rows, lists.where(F.pmod(F.xxhash64("k"), F.lit(slices)) == i), k, schema) for i in range(slices)]
+    part = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return top_k(part, ["qid"], [F.desc("skor"), F.asc("id")], k, "sira").select("qid", "sira", "id", F.round("skor", 2).alias("skor"))
+
+
+def _against(rows: DataFrame, lists: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k best rows of each task for each query of a slice, which is held to HELD words and goes to every task."""
+    asked = lists.toPandas()
+    blocks = [_block(asked.iloc[a : a + ASKED]) for a in range(0, len(asked), ASKED)]
+    held = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame | None] = [None] * len(held.value)
         for batch in batches:
-            for b, q in zip(batch.b, batch.q, strict=True):
-                d, a = pickle.loads(b), pickle.loads(q)
-                i, j, v = _best(d, a, k)
-                yield pd.DataFrame({"qid": [a[0][x] for x in i], "id": [d[0][x] for x in j], "skor": v})
-
-    # Blocks are large and few: spread over all cores, which adaptive execution would not do for so few bytes.
-    spread = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = left.repartition(spread).crossJoin(right.select(F.col("b").alias("q"))).select("b", "q").mapInPandas(run, f"qid {kind}, id {dict(docs.dtypes)[key]}, skor double")
-    return top_k(part, ["qid"], [F.desc("skor"), F.asc("id")], k, "sira").select("qid", "sira", "id", F.round("skor", 2).alias("skor"))
+            for a in range(0, len(batch), ROWS):
+                docs = _block(batch.iloc[a : a + ROWS])
+                for n, own in enumerate(held.value):
+                    i, j, v = _best(docs, own, k)
+                    new = pd.DataFrame({"q": i, "id": [docs[0][x] for x in j], "skor": v})
+                    if best[n] is not None:
+                        new = pd.concat([best[n], new]).sort_values(["q", "skor", "id"], ascending=[True, False, True], kind="stable")
+                        new = new[new.groupby("q").cumcount() < k]
+                    best[n] = new
+        for own, rest in zip(held.value, best, strict=True):
+            if rest is not None:
+                yield pd.DataFrame({"qid": [own[0][x] for x in rest.q], "id": rest.id, "skor": rest.skor})
+
+    return rows.mapInPandas(run, schema)
 
 
 def topics(index: Index, docs: DataFrame, queries: DataFrame, k: int, vectors: Callable[[DataFrame, int], DataFrame] | None, **how) -> DataFrame:

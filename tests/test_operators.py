@@ -87,9 +87,24 @@ def test_verify(spark):
     assert got == {"var": (True, "h3"), "az": (False, None)}
 
 
+def test_lexical_blocks_and_slices(spark, monkeypatch):
+    """Small blocks and several slices of the query set give what one block gives."""
+    r = random.Random(4)
+    words = [f"kelime{chr(97 + i)}" for i in range(26)]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(r.choices(words, k=r.randrange(0, 12))), "sahih") for i in range(200)], "id string, tr string, derece string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(r.choices(words, k=5))) for i in range(30)], "qid string, text string")
+    index = lexical.build(docs, "id", "tr")
+    want = sorted(map(tuple, lexical.search(index, docs, asked, 6).collect()))
+    for name, value in (("ROWS", 7), ("ASKED", 4), ("HELD", 40), ("WORDS", -1)):
+        monkeypatch.setattr(lexical, name, value)
+    assert sorted(map(tuple, lexical.search(index, docs, asked, 6).collect())) == want and len(want) > 150
+    assert lexical.search(index, docs, asked.limit(0), 6).count() == 0
+
+
 def test_vector_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "ROWS", 17)
     monkeypatch.setattr(vector, "ASKED", 3)
+    monkeypatch.setattr(vector, "HELD", 30)  # several slices of the query set
     m = np.random.default_rng(1).normal(size=(100, 8)).astype(np.float32)
     m[7] = m[8]
     df = spark.createDataFrame([(i, m[i].tolist()) for i in range(100)], "vec_id long, embedding array<float>")
@@ -196,3 +211,44 @@ def test_encode_texts_gives_both_languages(spark, data):
     assert set(got) == {(k, dil) for k in corpus for dil in ("tr", "en")}
     encode = encoders.hashing_encoder()
     assert all(np.allclose(v, encode([corpus[k][dil] or corpus[k].tr or ""])[0], atol=1e-6) for (k, dil), v in got.items())
+
+
+def test_vectors_belong_to_rows(spark):
+    rows, v = spark.createDataFrame([("b",), ("a",)], "id string"), spark.createDataFrame([(0, [1.0]), (1, [2.0])], "pos long, v array<float>")
+    assert {(r.id, r.v[0]) for r in vector.aligned(rows, "id", v, "pos", "v").collect()} == {("a", 1.0), ("b", 2.0)}
+    with pytest.raises(ValueError, match="2 rows but 1 vectors"):
+        vector.aligned(rows, "id", v.where("pos = 0"), "pos", "v")
+    assert vector.aligned(rows, "id", v.where("pos = 0"), "pos", "v", strict=False).count() == 1
+
+
+def test_views_in_full(spark):
+    rel = editions.search_relation(
+        spark.createDataFrame([("h1", "söz", None, "mevzu", "K 1")], "id string, tr string, en string, derece string, kaynak string"),
+        spark.createDataFrame([("yaygın", "mevzu", "Kitap, s. 3", "Kendi açıklaması")], "metin string, derece string, referans string, aciklama string"),
+    )
+    got = {r.id: r for r in grading.graded_view(rel, "en").collect()}
+    assert got["h1"].dereceAnlam == grading.GRADES[3][5] and not got["h1"].mevzuat and got["h1"].referans is None
+    assert got["m0"].dereceAnlam == "Kendi açıklaması" and got["m0"].kaynak == "Halk arasında yaygın söz" and got["m0"].referans == got["m0"].dereceRaw == "Kitap, s. 3" and got["m0"].alimler == []
+    days = spark.createDataFrame([("2024-01-01",)], "g string").select(F.col("g").cast("date").alias("gun"))
+    verses = spark.createDataFrame([("k9", 94, 5, "A 5", "B 5", "ا", "o", "t", "")], "id string, sure int, ayet int, kaynak string, kaynakEn string, ar string, okunus string, tr string, en string")
+    corpus = spark.createDataFrame([("h1", "sahih", "x" * 50, "y", "a", "K 1")], "id string, derece string, tr string, en string, ar string, kaynak string")
+    one = daily.view(days, verses, corpus, "en").head()
+    assert (one.ayet.kaynak, one.ayet.tr, one.hadis.tr, one.hadis.dereceEtiket) == ("B 5", "t", "y", "Sahih (Authentic)")
+    none = daily.view(days, verses.limit(0), corpus.limit(0)).head()
+    assert none.ayet is None and none.hadis is None
+
+
+def test_topics_with_and_without_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "elma", "sahih"), ("b", "armut", "sahih")], "id string, tr string, derece string")
+    asked, index = spark.createDataFrame([("q", "elma")], "qid string, text string"), lexical.build(docs, "id", "tr")
+    assert readers.optional_float_matrix(spark, str(tmp_path / "none.f32"), 4) is None
+    assert [r.id for r in lexical.topics(index, docs, asked, 5, None).collect()] == ["a"]
+    assert [r.id for r in lexical.topics(index, docs, asked, 5, lambda q, k: q.selectExpr("qid", "1 AS sira", "'b' AS id", "1D AS skor")).collect()] == ["b"]
+
+
+def test_only_listed_paths(spark):
+    from rivaq.functions import text as X
+
+    want = {"/": "/hadis.html", "/gizlilik": "/gizlilik.html", "/fonts/a-1.woff2": "/fonts/a-1.woff2", "/fonts/../x": None, "/api/konu": None, None: None, "/hadis.html": "/hadis.html"}
+    df = spark.createDataFrame([(k,) for k in want], "p string")
+    assert {r.p: r.f for r in df.select("p", X.served(F.col("p")).alias("f")).collect()} == want
