@@ -106,6 +106,7 @@ class Model:
     w: np.ndarray | None = None
     p: np.ndarray | None = None
     copies: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    place: dict[str, int] | None = None  # graders by number of opinions: one copies only from a later one
     frame: DataFrame | None = None
     joined: DataFrame | None = None
 
@@ -182,7 +183,14 @@ def _counted(b: Batch, shares: np.ndarray | None) -> tuple[list[str], np.ndarray
     return [*o.names, SHARES], np.r_[n.reshape(-1, M * M), top]
 
 
-def _paired(b: Batch, shares: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _allowed(names: list[str], place: dict[str, int], copies: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the batch's graders, who may only copy those in later ones, and the pairs already known, as numbers."""
+    local = {n: i for i, n in enumerate(names)}
+    known = [i * len(names) + local[y] for i, n in enumerate(names) for y, _ in copies.get(n, ()) if y in local]
+    return np.array([place[n] for n in names]), np.array(known, np.int64)
+
+
+def _paired(b: Batch, shares: np.ndarray, allowed: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Graders g and h of pairs, and n, agree, due: items both judge, how often they say the same, and how often g would by its own rows, given all other opinions on the item and those it is known to copy."""
     s, weight, _ = _items(b, shares)
     o = b.o
@@ -196,7 +204,8 @@ def _paired(b: Batch, shares: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
         to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + AT_ONCE, side="right")))
         x = np.repeat(np.arange(at, to), size[at:to])
         y = o.start[o.item[x]] + np.arange(len(x)) - np.repeat(done[at:to] - size[at:to] - (done[at - 1] if at else 0), size[at:to])
-        x, y = x[x != y], y[x != y]
+        may = x != y if allowed is None else (allowed[0][o.g[x]] < allowed[0][o.g[y]]) & ~np.isin(o.g[x] * n + o.g[y], allowed[1])
+        x, y = x[may], y[may]
         keys, inverse = np.unique(o.g[x] * n + o.g[y], return_inverse=True)
         sums = np.stack([np.bincount(inverse, z, len(keys)) for z in (np.ones(len(x)), o.k[x] == o.k[y], due[x, o.k[y]])], axis=1)
         yield keys // n, keys % n, sums
@@ -224,11 +233,12 @@ class _Sums:
 
 def _scan(items: DataFrame, m: Model, what: Callable, schema: str) -> DataFrame:
     """what(the batch of Arrow columns, its opinions with parameters, the class shares' weights) -> batches, over all items."""
-    row, w, p, shares, copies = m.row, m.w, m.p, m.shares, m.copies
+    row, w, p, shares, copies, place = m.row, m.w, m.p, m.shares, m.copies, m.place
     shipped(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from what(((batch, Batch.of(batch.column("v"), row, w, p, copies)) for batch in batches if batch.num_rows), shares)
+        given = ((batch, Batch.of(batch.column("v"), row, w, p, copies)) for batch in batches if batch.num_rows)
+        yield from what(given, shares, place, copies) if what is _sum_pairs else what(given, shares)
 
     return _attached(items, m).mapInArrow(run, schema)
 
@@ -260,10 +270,10 @@ def _wide(names: list[str], n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * M * M, pa.int32()), pa.array(n.ravel(), pa.float64()))], names=["g", "n"])
 
 
-def _sum_pairs(batches: Iterator, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sum_pairs(batches: Iterator, shares: np.ndarray, place: dict[str, int] | None, copies: dict) -> Iterator[pa.RecordBatch]:
     sums = _Sums(3)
     for _, b in batches:
-        for g, h, n in _paired(b, shares):
+        for g, h, n in _paired(b, shares, None if place is None else _allowed(b.o.names, place, copies)):
             sums.add([(b.o.names[i], b.o.names[j]) for i, j in zip(g.tolist(), h.tolist(), strict=True)], n)
             if len(sums.at) > HELD:
                 yield _narrow(*sums.take())
@@ -296,7 +306,7 @@ def _next(items: DataFrame, m: Model, small: bool) -> tuple[Model, float]:
         a, w, p = (np.array([r[c] for r in rows]).reshape(-1, M, M) for c in ("a", "w", "p"))
         old = None if m.p is None else m.p[[m.row[r.g] for r in rows]]
         moved = np.inf if old is None else float(np.abs(p - old)[[r.g != SHARES for r in rows]].max(initial=0.0))
-        return Model(w[names[SHARES], 0] if rows else np.zeros(M), names, a, w, p, m.copies), moved
+        return Model(w[names[SHARES], 0] if rows else np.zeros(M), names, a, w, p, m.copies, m.place), moved
     new = saved(new, "params")
     top = new.where(F.col("g") == SHARES).head()
     moved = np.inf
@@ -320,40 +330,46 @@ def _copies(items: DataFrame, m: Model, known: DataFrame | None) -> DataFrame:
 
     Only the plainest of these pairs are taken at once: others may owe their surplus to those, and are measured again once they are known.
     """
-    judged = items.select(F.explode("v").alias("o")).groupBy("o.g").agg(F.count("*").alias("n"))
     both = _scan(items, m, _sum_pairs, "g string, h string, n double, agree double, due double").groupBy("g", "h").agg(*[F.sum(c).alias(c) for c in ("n", "agree", "due")])
     surplus = F.col("agree") - F.col("due")
     both = both.withColumn("rho", F.try_divide(surplus, F.col("n") - F.col("due"))).where((F.col("rho") > EXCESS) & (surplus > SURE * F.sqrt(F.col("due") * F.greatest(F.lit(0.0), 1 - F.col("due") / F.col("n")))))
-    if known is not None:
-        both = both.join(known.select(F.col("kopya").alias("g"), F.col("asil").alias("h")), ["g", "h"], "left_anti")
-    both = both.join(judged.select("g", F.col("n").alias("all_g")), "g").join(judged.select(F.col("g").alias("h"), F.col("n").alias("all_h")), "h")
-    both = both.where((F.col("all_g") < F.col("all_h")) | ((F.col("all_g") == F.col("all_h")) & (F.col("g") > F.col("h"))))
+    if m.place is None:  # else the tasks count only pairs that may be
+        judged = items.select(F.explode("v").alias("o")).groupBy("o.g").agg(F.count("*").alias("n"))
+        if known is not None:
+            both = both.join(known.select(F.col("kopya").alias("g"), F.col("asil").alias("h")), ["g", "h"], "left_anti")
+        both = both.join(judged.select("g", F.col("n").alias("all_g")), "g").join(judged.select(F.col("g").alias("h"), F.col("n").alias("all_h")), "h")
+        both = both.where((F.col("all_g") < F.col("all_h")) | ((F.col("all_g") == F.col("all_h")) & (F.col("g") > F.col("h"))))
     return both.groupBy("g").agg(F.max(F.struct(F.least("rho", F.lit(0.98)).alias("rho"), "h")).alias("p")).select(F.col("g").alias("kopya"), F.col("p.h").alias("asil"), F.col("p.rho").alias("rho"))
 
 
-def _plainest(pairs: DataFrame) -> DataFrame:
-    return pairs.where(F.col("rho") >= PLAIN * pairs.agg(F.max("rho")).scalar())
-
-
 def fitted(corpus: DataFrame, terms: DataFrame) -> tuple[DataFrame, Model, DataFrame]:
     """items (id, v: opinions g, k), the model, and copies (kopya, asil, rho)."""
     spark = corpus.sparkSession
     items = saved(opinions(corpus, terms).groupBy("id").agg(F.collect_list(F.struct("g", "k")).alias("v")), "items")
-    small = items.select(F.explode("v.g").alias("g")).distinct().count() <= GRADERS
-    copies, held, led = None, {}, None
+    judged = items.select(F.explode("v").alias("o")).groupBy("o.g").agg(F.count("*").alias("n")).limit(GRADERS + 1).collect()
+    small = len(judged) <= GRADERS
+    place = {r.g: i for i, r in enumerate(sorted(sorted(judged, key=lambda r: r.g, reverse=True), key=lambda r: r.n))} if small else None
+    copies, held, led, names = None, {}, None, "kopya string, asil string, rho double"
     while True:
-        m = _fit(items, Model(copies=held, joined=led), small, EARLY + 1)
-        new = saved(_plainest(saved(_copies(items, m, copies), "pairs")), "copies")
-        if new.isEmpty():
-            break
-        copies = new if copies is None else copies.unionByName(new)
+        m = _fit(items, Model(copies=held, joined=led, place=place), small, EARLY + 1)
+        new = _copies(items, m, copies)
         if small:
-            for r in new.collect():  # at most one for each grader
+            rows = new.collect()  # at most one for each grader
+            found = [r for r in rows if r.rho >= PLAIN * max(x.rho for x in rows)]
+            for r in found:
                 held.setdefault(r.kopya, []).append((r.asil, r.rho))
         else:
-            led = saved(copies.groupBy(F.col("kopya").alias("g")).agg(F.collect_list(F.struct("asil", "rho")).alias("c")), "led")
-    none = spark.createDataFrame([], "kopya string, asil string, rho double")
-    return items, _fit(items, m, small, ROUNDS), none if copies is None else copies
+            new = saved(new, "pairs")
+            new = saved(new.where(F.col("rho") >= PLAIN * new.agg(F.max("rho")).scalar()), "copies")
+            found = not new.isEmpty()
+            if found:
+                copies = new if copies is None else copies.unionByName(new)
+                led = saved(copies.groupBy(F.col("kopya").alias("g")).agg(F.collect_list(F.struct("asil", "rho")).alias("c")), "led")
+        if not found:
+            break
+    if small:
+        copies = spark.createDataFrame([(g, a, rho) for g, own in held.items() for a, rho in own], names)
+    return items, _fit(items, m, small, ROUNDS), spark.createDataFrame([], names) if copies is None else copies
 
 
 def _judged(batches: Iterator, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
