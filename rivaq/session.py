@@ -119,15 +119,13 @@ def spread(df: DataFrame) -> DataFrame:
 def _clean() -> None:
     for folder in _shipped.values():
         shutil.rmtree(folder, ignore_errors=True)
-    spark = SparkSession.getActiveSession()
-    if spark is None or not spark.sparkContext._jsc:
-        return
-    for path in sorted(_written, key=len, reverse=True):
-        try:
+    path = ""
+    try:
+        spark = SparkSession.getActiveSession()
+        for path in sorted(_written, key=len, reverse=True) if spark is not None and spark.sparkContext._jsc else ():
             _delete(spark, path)
-        except Exception as e:  # the file system may be gone before the session
-            logging.getLogger(__name__).warning("left behind: %s (%s)", path, e)
-            return
+    except Exception as e:  # the session or its file system may be gone
+        logging.getLogger(__name__).warning("left behind: %s (%s)", path or "tables of this session", e)
 
 
 atexit.register(_clean)
