@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,41 @@ def test_lexical_blocks_and_slices(spark, monkeypatch):
     assert lexical.search(index, docs, asked.limit(0), 6).count() == 0
 
 
+def test_search_scores_few_pairs(monkeypatch):
+    """Of queries in common words, only few pairs with documents are scored one by one; the best are those of all pairs, ties to the smaller id."""
+    r, k, n_docs, n_terms = random.Random(7), 4, 3000, 60
+    docs = [r.choices(range(n_terms), k=r.randrange(1, 20)) + [1000 + i % 300] * (i % 3) for i in range(n_docs)]
+    docs[1500:1560] = [docs[3]] * 60
+    asked = [r.sample(range(n_terms), r.randrange(1, 7)) + r.choices(range(1000, 1320), k=i % 3) for i in range(200)] + [[5, 9, 5], [1007], [77777], docs[3]]
+    n = {t: sum(t in set(d) for d in docs) for t in {t for d in docs for t in d}}
+    avg = sum(map(len, docs)) / n_docs
+    lists = [sorted({t: q.count(t) for t in q}.items()) for q in asked]
+    longs = pa.list_(pa.int64())
+    monkeypatch.setattr(lexical, "COMMON", 100)
+    table = pa.table({"k": [f"q{i}" for i in range(len(asked))], "t": pa.array([[t for t, _ in x] for x in lists], longs), "f": pa.array([[float(f) for _, f in x] for x in lists], pa.list_(pa.float64()))})
+    plan = lexical._plan(table, pa.table({"t": pa.array(n, pa.int64()), "n": pa.array(n.values(), pa.int64())}), n_docs, avg)
+    assert plan["common"] >= n_terms and len(plan["rare"][0]) > 0
+    rows = pa.record_batch({"id": [f"d{i:04}" for i in range(n_docs)], "len": [len(d) for d in docs], "carpan": [0.92 if i % 5 == 0 else 1.0 for i in range(n_docs)], "t": pa.array(docs, longs)})
+    want = {}
+    for i, x in enumerate(lists):
+        s = [0.0] * n_docs
+        for t, f in x:
+            for j, d in enumerate(docs):
+                if c := d.count(t):
+                    s[j] += f * np.log(1 + (n_docs - n[t] + 0.5) / (n[t] + 0.5)) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * len(d) / avg)) * (0.92 if j % 5 == 0 else 1)
+        best = sorted((-round(v, 9), f"d{j:04}") for j, v in enumerate(s) if v > 0)[:k]
+        want |= {f"q{i}": best} if best else {}
+    scored, plain = [], lexical._common_score
+    monkeypatch.setattr(lexical, "_common_score", lambda plan, dense, g, d: scored.append(len(g)) or plain(plan, dense, g, d))
+    for how in ({}, {"ROWS": 700, "FIRST": 50, "DEEP": 2, "ASKED": 90, "SENT": 7}):
+        for name, value in how.items():
+            monkeypatch.setattr(lexical, name, value)
+        scored.clear()
+        got = {x["qid"]: [(round(y["eksi"], 9), y["id"]) for y in x["v"]] for batch in lexical._searched(plan, k, iter([rows.slice(0, 1100), rows.slice(1100)])) for x in batch.to_pylist()}
+        assert got == want
+        assert sum(scored) < 0.03 * len(asked) * n_docs
+
+
 def test_vector_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "ROWS", 17)
     monkeypatch.setattr(vector, "ASKED", 3)
